@@ -78,25 +78,29 @@ def query_pairs(query_text: Column) -> Column:
         decoded(F.regexp_extract(p, "^[^=]*=((?s:.+))$", 1)).alias("value")))
 
 
-def normalize_url(url: Column) -> Column:
-    """Scheme added, host and path lowered, default port and fragment dropped,
-    query keys sorted, percent escapes decoded."""
-    full = F.when(F.startswith(url, F.lit("http://")) | F.startswith(url, F.lit("https://")), url) \
-        .otherwise(F.concat(F.lit("http://"), url))
-    authority = F.lower(netloc(full))
-    authority = F.when((scheme(full) == "http") & authority.rlike("^[^:]*:80$")
-                       | (scheme(full) == "https") & authority.rlike("^[^:]*:443$"),
-                       F.substring_index(authority, ":", 1)).otherwise(authority)
-    pairs = query_pairs(query(full))
-    keys = F.array_sort(F.array_distinct(F.transform(pairs, lambda p: p["key"])))
-    sorted_query = F.array_join(F.transform(keys, lambda k: F.concat(
-        k, F.lit("="),
-        F.array_join(F.array_sort(F.transform(
-            F.filter(pairs, lambda p: p["key"] == k), lambda p: p["value"])), ","))), "&")
-    # '?' rebuilds only when a query is left
-    return unquote(F.concat(
-        scheme(full), F.lit("://"), authority, F.lower(path(full)),
-        F.when(sorted_query != "", F.concat(F.lit("?"), sorted_query)).otherwise("")))
+def with_normalized(df: DataFrame, column: str, alias: str) -> DataFrame:
+    """Add the normalised form of a link column: scheme added, host and path
+    lowered, default port and fragment dropped, query keys sorted, percent
+    escapes decoded. Built in steps so that each piece is computed once.
+    """
+    keep = df.columns
+    raw = F.col(column)
+    df = df.withColumn("_full", F.when(F.startswith(raw, F.lit("http://")) | F.startswith(raw, F.lit("https://")), raw)
+                       .otherwise(F.concat(F.lit("http://"), raw)))
+    df = df.withColumns({"_scheme": scheme(F.col("_full")), "_authority": F.lower(netloc(F.col("_full"))),
+                         "_pairs": query_pairs(query(F.col("_full")))})
+    default_port = ((F.col("_scheme") == "http") & F.col("_authority").rlike("^[^:]*:80$")
+                    | (F.col("_scheme") == "https") & F.col("_authority").rlike("^[^:]*:443$"))
+    df = df.withColumns({
+        "_host": F.when(default_port, F.substring_index("_authority", ":", 1)).otherwise(F.col("_authority")),
+        "_keys": F.array_sort(F.array_distinct(F.col("_pairs")["key"]))})
+    merged = F.array_join(F.transform("_keys", lambda k: F.concat(
+        k, F.lit("="), F.array_join(F.array_sort(F.transform(
+            F.filter("_pairs", lambda p: p["key"] == k), lambda p: p["value"])), ","))), "&")
+    df = df.withColumn("_joined", F.concat(
+        F.col("_scheme"), F.lit("://"), F.col("_host"), F.lower(path(F.col("_full"))),
+        F.when(F.size("_keys") > 0, F.concat(F.lit("?"), merged)).otherwise("")))
+    return df.select(*[c for c in keep if c != alias], unquote(F.col("_joined")).alias(alias))
 
 
 def suffix_of(host: Column, suffixes: Iterable[str] = tuple(rules.PUBLIC_SUFFIXES)) -> Column:
@@ -204,7 +208,7 @@ def structure_rules(df: DataFrame, raw: str = "raw_url", compat: bool = False) -
     }).drop("_hits", "_pairs")
 
 
-def pair_is_suspicious(src: str, dst: str, compat: bool = False) -> Column:
+def pair_is_suspicious(src: str, dst: str, dst_url: str, compat: bool = False) -> Column:
     """Whether a hop between two prefixed part sets looks wrong."""
     s, d = (lambda c: F.col(f"{src}_{c}")), (lambda c: F.col(f"{dst}_{c}"))
 
@@ -222,5 +226,5 @@ def pair_is_suspicious(src: str, dst: str, compat: bool = False) -> Column:
     foreign = (s("registered_domain") != d("registered_domain")) & ~d("registered_domain").isin(rules.URL_TRUSTED)
     shaped = F.lit(False)
     for pattern in rules.REDIRECT_TARGET_PATTERNS:
-        shaped = shaped | F.col(f"{dst}_url").rlike("(?i)" + pattern)
+        shaped = shaped | F.col(dst_url).rlike("(?i)" + pattern)
     return downgrade | port_change | foreign | shaped

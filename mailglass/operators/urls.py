@@ -26,18 +26,18 @@ def simple_links(mail: DataFrame, text: str = "raw", host_only: bool = False) ->
 
 def score_structure_and_domain(links: DataFrame, compat: bool = False) -> DataFrame:
     """Normalise each link and apply the domain and structure rules (no shuffle)."""
-    df = links.withColumn("url", U.normalize_url(F.col("raw_url")))
-    df = U.with_parts(df)
+    df = U.with_parts(U.with_normalized(links, "raw_url", "url"))
     df = U.domain_rules(df, compat)
     return U.structure_rules(df, compat=compat)
 
 
 def prepare_hops(edges: DataFrame, compat: bool = False) -> DataFrame:
     """One outgoing hop per normalised source, with its pair and target scores."""
-    df = edges.select(U.normalize_url(F.col("src")).alias("src"), U.normalize_url(F.col("dst")).alias("dst"), "kind", "ssl_ok")
+    df = U.with_normalized(edges.select("src", "dst", "kind", "ssl_ok"), "src", "src")
+    df = U.with_normalized(df, "dst", "dst")
     df = df.groupBy("src").agg(F.min(F.struct("dst", "kind", "ssl_ok")).alias("hop")).select("src", "hop.*")
     df = score_hop_pairs(df, compat)
-    target = U.domain_rules(U.with_parts(df.withColumn("url", F.col("dst"))), compat)
+    target = U.domain_rules(U.with_parts(df, "dst"), compat)
     # read once per hop by redirect_chains, so it is scored and written once
     return materialize(target.select(
         "src", "dst", "kind", "ssl_ok", "pair_suspicious", F.col("dom_suspicious").alias("dst_suspicious"),
@@ -46,13 +46,13 @@ def prepare_hops(edges: DataFrame, compat: bool = False) -> DataFrame:
 
 def score_hop_pairs(edges: DataFrame, compat: bool = False) -> DataFrame:
     """Add pair_suspicious to rows with src and dst."""
-    wanted = ["scheme", "port", "registered_domain", "url"]
+    wanted = ["scheme", "port", "registered_domain"]
     df = edges
     for side in ("src", "dst"):
         keep = df.columns
-        df = U.with_parts(df.withColumn("url", F.col(side)))
+        df = U.with_parts(df, side)
         df = df.select(*keep, *[F.col(c).alias(f"_{side}_{c}") for c in wanted])
-    return df.withColumn("pair_suspicious", U.pair_is_suspicious("_src", "_dst", compat)) \
+    return df.withColumn("pair_suspicious", U.pair_is_suspicious("_src", "_dst", "dst", compat)) \
         .select(*edges.columns, "pair_suspicious")
 
 

@@ -1,6 +1,6 @@
 """Imports every query module so that the registry is filled."""
 
-from mailglass.plans import queries_mail, queries_urls  # noqa: F401
+from mailglass.plans import queries_mail, queries_senders, queries_urls  # noqa: F401
 from mailglass.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

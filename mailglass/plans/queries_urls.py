@@ -48,20 +48,20 @@ def u3(spark, sf_dir):
 
 @query("u4_normalize", build("SELECT raw_url, url FROM url_n", "url_n"))
 def u4(spark, sf_dir):
-    return _urls(spark, sf_dir).withColumn("url", U.normalize_url(F.col("raw_url")))
+    return U.with_normalized(_urls(spark, sf_dir), "raw_url", "url")
 
 
 @query("u5_domain_rules", build(
     "SELECT raw_url, dom_suspicious, array_to_string(dom_reasons, ' | ') AS dom_reasons, round(dom_risk, 6) AS dom_risk FROM url_d", "url_d"))
 def u5(spark, sf_dir):
-    df = U.domain_rules(U.with_parts(_urls(spark, sf_dir).withColumn("url", U.normalize_url(F.col("raw_url")))))
+    df = U.domain_rules(U.with_parts(U.with_normalized(_urls(spark, sf_dir), "raw_url", "url")))
     return df.select("raw_url", "dom_suspicious", joined("dom_reasons").alias("dom_reasons"), r6("dom_risk").alias("dom_risk"))
 
 
 @query("u6_structure_rules", build(
     "SELECT raw_url, str_suspicious, array_to_string(str_reasons, ' | ') AS str_reasons, round(str_risk, 6) AS str_risk FROM url_s", "url_s"))
 def u6(spark, sf_dir):
-    df = U.structure_rules(U.with_parts(_urls(spark, sf_dir).withColumn("url", U.normalize_url(F.col("raw_url")))))
+    df = U.structure_rules(U.with_parts(U.with_normalized(_urls(spark, sf_dir), "raw_url", "url")))
     return df.select("raw_url", "str_suspicious", joined("str_reasons").alias("str_reasons"), r6("str_risk").alias("str_risk"))
 
 
@@ -69,7 +69,7 @@ def u6(spark, sf_dir):
     "SELECT url, final_url, CAST(chain_length AS INTEGER) AS chain_length, red_suspicious, round(red_risk, 6) AS red_risk, "
     "array_to_string(red_reasons, ' | ') AS red_reasons FROM url_chain", "url_chain"))
 def u7(spark, sf_dir):
-    starts = _urls(spark, sf_dir).select(U.normalize_url(F.col("raw_url")).alias("url")).distinct()
+    starts = U.with_normalized(_urls(spark, sf_dir), "raw_url", "url").select("url").distinct()
     df = ops.redirect_chains(starts, _hops(spark, sf_dir))
     return df.select("url", "final_url", "chain_length", "red_suspicious", r6("red_risk").alias("red_risk"),
                      joined("red_reasons").alias("red_reasons"))
