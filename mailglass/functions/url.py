@@ -16,8 +16,8 @@ from mailglass.functions.text import compact, flag
 
 HREF = r"href=[\"'](https?://[^\"'>]+)[\"']"
 BARE = r"(https?://[^\s<>\"']+)"
-WITH_PATH = r"https?://(?:[-\w.]|(?:%[\da-fA-F]{2}))+[^\s]*"
-HOST_ONLY = r"https?://(?:[-\w.]|(?:%[\da-fA-F]{2}))+"
+WITH_PATH = r"https?://(?:[-\p{L}\p{N}_.]|(?:%[\da-fA-F]{2}))+[^\s]*"
+HOST_ONLY = r"https?://(?:[-\p{L}\p{N}_.]|(?:%[\da-fA-F]{2}))+"
 
 
 def extract_urls(text: Column) -> Column:

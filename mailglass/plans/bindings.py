@@ -129,6 +129,7 @@ FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"""
 IMAGES = """
 SELECT doc_id AS image_id, doc_id - doc_id % 3 AS mail_id,
   CAST(5 + (doc_id * 7) % 60 AS INT) AS width, CAST(8 + (doc_id * 11) % 50 AS INT) AS height,
+  CASE WHEN doc_id % 10 = 5 THEN 'netflix' END AS logo_brand,
   CASE doc_id % 8
     WHEN 0 THEN concat('PayPal: sign in at http://paypa1.com/login today. ', text)
     WHEN 1 THEN concat('Amazon offer at https://www.amazon.com/deal and shop.example.org now. ', text)

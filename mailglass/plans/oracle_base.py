@@ -100,8 +100,8 @@ FROM meta0""" % ", ".join(lit(m) for m in MONTHS), "meta0")
 # ---- links ----------------------------------------------------------------------
 HREF = r"'href=[\x22\x27](https?://[^\x22\x27>]+)[\x22\x27]'"
 BARE = r"'(https?://[^\s<>\x22\x27]+)'"
-WITH_PATH = r"'https?://(?:[-\w.]|(?:%[\da-fA-F]{2}))+[^\s]*'"
-HOST_ONLY = r"'https?://(?:[-\w.]|(?:%[\da-fA-F]{2}))+'"
+WITH_PATH = r"'https?://(?:[-\p{L}\p{N}_.]|(?:%[\da-fA-F]{2}))+[^\s]*'"
+HOST_ONLY = r"'https?://(?:[-\p{L}\p{N}_.]|(?:%[\da-fA-F]{2}))+'"
 block("mail_urls", rf"""
 SELECT mail_id, raw, list_filter(us, lambda x, i: list_position(us, x) = i) AS us FROM (
   SELECT mail_id, raw, list_concat(regexp_extract_all(raw, {HREF}, 1),
