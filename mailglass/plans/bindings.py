@@ -116,7 +116,9 @@ SELECT d.doc_id AS id, d.text AS body, coalesce(l.toxic, 0) AS is_phishing, d.so
 FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"""
 
 VECTORS = """
-SELECT vec_id AS id, embedding, (label % 2 = 1) AS is_phishing, label FROM embeddings"""
+SELECT v.vec_id AS id, v.embedding, (v.label % 2 = 1) AS is_phishing, v.label, coalesce(d.text, 'no text') AS content,
+  CAST(1704067200 + v.vec_id * 60 AS BIGINT) AS added_at
+FROM embeddings v LEFT JOIN documents d ON d.doc_id = v.vec_id"""
 
 PROB = """
 SELECT d.doc_id AS id, coalesce(l.toxic, 0) AS y,

@@ -1,6 +1,12 @@
 """Imports every query module so that the registry is filled."""
 
-from mailglass.plans import queries_content, queries_mail, queries_senders, queries_urls  # noqa: F401
+from mailglass.plans import (  # noqa: F401
+    queries_content,
+    queries_mail,
+    queries_senders,
+    queries_similarity,
+    queries_urls,
+)
 from mailglass.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
