@@ -6,6 +6,7 @@ from mailglass.plans import (  # noqa: F401
     queries_senders,
     queries_similarity,
     queries_urls,
+    queries_verdict,
 )
 from mailglass.plans.registry import ORACLES, QUERIES
 

@@ -114,8 +114,9 @@ _LITE = " + ".join(
     [f"CASE WHEN contains(host, '{b}') AND NOT ends_with(host, '.{b}.com') THEN {d(0.4)} ELSE {d(0)} END" for b in rules.LITE_BRANDS]
     + ["CASE WHEN " + " OR ".join(f"ends_with(host, '{t}')" for t in rules.LITE_TLDS) + f" THEN {d(0.3)} ELSE {d(0)} END",
        rf"CASE WHEN regexp_matches(host, '\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}') THEN {d(0.4)} ELSE {d(0)} END"])
-block("lite_links", f"SELECT mail_id, link, {_LITE} AS link_risk FROM (SELECT mail_id, link, lower(regexp_extract(link, {NETLOC}, 1)) AS host "
-      f"FROM (SELECT mail_id, unnest(regexp_extract_all(raw, {WITH_PATH})) AS link FROM mail))", "mail")
+block("lite_pos", f"SELECT mail_id, pos, link, {_LITE} AS link_risk FROM (SELECT mail_id, pos, link, lower(regexp_extract(link, {NETLOC}, 1)) AS host "
+      f"FROM (SELECT mail_id, unnest(ls) AS link, generate_subscripts(ls, 1) AS pos FROM (SELECT mail_id, regexp_extract_all(raw, {WITH_PATH}) AS ls FROM mail)))", "mail")
+block("lite_links", "SELECT mail_id, link, link_risk FROM lite_pos", "lite_pos")
 block("lite_rollup", "SELECT m.mail_id, count(l.link) AS urls_found, count(*) FILTER (WHERE l.link_risk > 0) AS risky_urls, "
       f"coalesce(max(l.link_risk), {d(0)}) AS lite_url_risk FROM mail m LEFT JOIN lite_links l ON l.mail_id = m.mail_id GROUP BY m.mail_id",
       "mail", "lite_links")
