@@ -2,7 +2,9 @@
 
 from mailglass.plans import (  # noqa: F401
     queries_content,
+    queries_corpus,
     queries_mail,
+    queries_monitor,
     queries_senders,
     queries_similarity,
     queries_urls,
