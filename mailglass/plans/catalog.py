@@ -4,6 +4,7 @@ from mailglass.plans import (  # noqa: F401
     queries_content,
     queries_corpus,
     queries_mail,
+    queries_models,
     queries_monitor,
     queries_senders,
     queries_similarity,
