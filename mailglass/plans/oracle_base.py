@@ -19,7 +19,12 @@ def block(name: str, sql: str, *needs: str) -> None:
     BLOCKS[name] = (needs, sql)
 
 
-def build(select: str, *needs: str) -> str:
+def build(select: str, *needs: str):
+    """Check SQL over the named blocks, put together once all are defined."""
+    return lambda: resolve(select, *needs)
+
+
+def resolve(select: str, *needs: str) -> str:
     order: list[str] = []
 
     def visit(name: str) -> None:

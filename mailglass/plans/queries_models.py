@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -110,10 +113,8 @@ def m8(spark, sf_dir):
 @query("m9_save_load")
 def m9(spark, sf_dir):
     train, test = parts(spark, sf_dir)
-    folder = f"{shared_folder(spark)}/models-{train.count()}"
-    models.fit_bayes(train).write().overwrite().save(folder)
-    from pyspark.ml import PipelineModel
-
+    folder = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
+    models.fit_bayes(train).write().save(folder)
     return _scored(PipelineModel.load(folder), test)
 
 

@@ -130,13 +130,16 @@ _ELEMENTS = ("list_concat(list_concat(list_concat("
              + ", inconsistencies)]), [{'t': 'image', 'e': x, 'r': image_risk} for x in image_factors])")
 
 
-def verdicts(spark, sf_dir):
+def snapshots(spark, sf_dir):
     known = view(spark, sf_dir, "vectors")
     names = ("whois", "dns_txt", "reputation", "dkim", "history", "ip_geo", "redirects", "images")
-    tables = ops.Snapshots(
+    return ops.Snapshots(
         **{n: view(spark, sf_dir, n) for n in names}, as_of=F.expr(AS_OF),
         neighbours=similarity.search_similar(known, questions(spark, sf_dir)), votes=knn_votes(known))
-    return ops.score_mails(view(spark, sf_dir, "mail"), tables)
+
+
+def verdicts(spark, sf_dir):
+    return ops.score_mails(view(spark, sf_dir, "mail"), snapshots(spark, sf_dir))
 
 
 @query("e7_mail_verdicts", build(

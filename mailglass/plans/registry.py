@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str | Callable[[], str]] = {}
 
 
-def query(name: str, oracle: str | None = None):
+def query(name: str, oracle: str | Callable[[], str] | None = None):
     """Register a query under ``name``, with check SQL where SQL can say it."""
 
     def wrap(function):
