@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mailglass.functions.join import lookup_join
 from mailglass.operators.senders import sender_facts
 
 
@@ -27,8 +28,11 @@ def record_feedback(feedback: DataFrame) -> DataFrame:
 
 
 def false_positives(detections: DataFrame, feedback: DataFrame) -> DataFrame:
+    """Feedback rows that deny a phishing detection. Feedback is counted per
+    detection before the join, so a much-reported detection is one row in it."""
     d = detections.filter("is_phishing").select(F.col("id").alias("detection_id"))
-    return feedback.filter("NOT is_correct").select("detection_id").join(d, "detection_id").agg(F.count("*").alias("false_positives"))
+    denied = feedback.filter("NOT is_correct").groupBy("detection_id").agg(F.count("*").alias("n"))
+    return denied.join(d, "detection_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("false_positives"))
 
 
 def accuracy(feedback: DataFrame) -> DataFrame:
@@ -55,7 +59,7 @@ def confidence_histogram(detections: DataFrame, as_of: Column, days: int = 7, bi
 def feedback_history(detections: DataFrame, feedback: DataFrame, rows: int = 100) -> DataFrame:
     """Latest feedback with the issue type the detection implies."""
     d = detections.select(F.col("id").alias("detection_id"), "is_phishing")
-    df = feedback.join(d, "detection_id").select(
+    df = lookup_join(feedback, d, ["detection_id"], spread_by="id").filter("is_phishing IS NOT NULL").select(
         "timestamp", "detection_id",
         F.when(F.col("is_phishing") == F.col("is_correct"), "False Negative").otherwise("False Positive").alias("issue_type"),
         F.lit("Submitted").alias("status"))

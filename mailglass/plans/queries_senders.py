@@ -276,14 +276,25 @@ def b2(spark, sf_dir):
 _RISK = "CASE WHEN n = 0 THEN {0} WHEN p > 0 THEN {1} ELSE greatest({2}, {3} - {2} * least(n, 4)) END".format(d(0.6), d(0.9), d(0.1), d(0.5))
 
 
-@query("b3_pair_history", build(f"""
+_PAIRS = build(f"""
 SELECT id, sender, recipient, n AS prior_n, n = 0 AS is_first_contact, round(CASE WHEN n > 1 THEN g / CAST(n - 1 AS DOUBLE) END, 6) AS average_interval_days, round({_RISK}, 6) AS history_risk
 FROM (SELECT *, count(*) OVER w AS n, coalesce(max(is_phishing) OVER w, 0) AS p, coalesce(sum(gap) OVER w, 0) AS g
   FROM (SELECT *, floor((epoch_us(timestamp) - epoch_us(lag(timestamp) OVER (PARTITION BY sender, recipient ORDER BY timestamp, id))) / 86400000000) AS gap FROM history)
-  WINDOW w AS (PARTITION BY sender, recipient ORDER BY timestamp, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""", "history"))
+  WINDOW w AS (PARTITION BY sender, recipient ORDER BY timestamp, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""", "history")
+_PAIR_COLUMNS = ("id", "sender", "recipient", "prior_n", "is_first_contact")
+
+
+@query("b3_pair_history", _PAIRS)
 def b3(spark, sf_dir):
     return behavior.pair_history(view(spark, sf_dir, "history")).select(
-        "id", "sender", "recipient", "prior_n", "is_first_contact", r6("average_interval_days").alias("average_interval_days"), r6("history_risk").alias("history_risk"))
+        *_PAIR_COLUMNS, r6("average_interval_days").alias("average_interval_days"), r6("history_risk").alias("history_risk"))
+
+
+# the same with every pair of more than 20 mails treated as a hot one
+@query("b3_pair_history_hot", _PAIRS)
+def b3_hot(spark, sf_dir):
+    return behavior.pair_history(view(spark, sf_dir, "history"), hot_rows=20).select(
+        *_PAIR_COLUMNS, r6("average_interval_days").alias("average_interval_days"), r6("history_risk").alias("history_risk"))
 
 
 _OWN = "nullif(regexp_extract(headers, '(?im)^From:[ \\t]*(?:[^<\\n]*<)?([^>\\n]+)>?', 1), '')"
