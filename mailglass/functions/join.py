@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
@@ -25,16 +28,41 @@ def fits_broadcast(df: DataFrame) -> bool:
     return size is not None and 0 <= size <= limit_bytes
 
 
-def lookup_join(facts: DataFrame, dim: DataFrame, on: list[str], spread_by: str, salts: int = 32) -> DataFrame:
+def hot_keys(facts: DataFrame, on: list[str], hot_rows: int, *measures: Column) -> tuple[list[Row], float]:
+    """Keys with more than ``hot_rows`` rows and more than 1/10000 of all rows,
+    with that limit. By the second test there are fewer than 10000 of them, so
+    the list is short whatever the data."""
+    limit = max(float(hot_rows), facts.count() / 10000)
+    counts = facts.groupBy(*on).agg(F.count("*").alias("_rows"), *measures).filter(F.col("_rows") > limit)
+    return counts.collect(), limit
+
+
+def lookup_join(facts: DataFrame, dim: DataFrame, on: list[str], spread_by: str, hot_rows: int = 1000000) -> DataFrame:
     """Left join to a table with one row per key.
 
-    A dimension below the broadcast limit is left to Spark. A larger one is
-    repeated ``salts`` times and the fact rows of each key are spread over the
-    copies by ``spread_by``, so a key with a third of all facts is split over
-    ``salts`` tasks instead of landing in one.
+    A dimension below the broadcast limit is left to Spark. Otherwise the keys
+    of the facts are counted when the plan is built. Without hot keys this is a
+    plain join. With some, the dimension rows of the hot keys are repeated and
+    their facts are spread over the copies by ``spread_by``, about one copy for
+    each limit's worth of rows; all other keys are joined as they are. Facts
+    without a key match nothing and are spread freely.
     """
     if fits_broadcast(dim):
         return facts.join(dim, on, "left")
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
-    copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    found, limit = hot_keys(facts, on, hot_rows)
+    if not found:
+        return facts.join(dim, on, "left")
+    spark = facts.sparkSession
+    keyed = [r for r in found if all(r[c] is not None for c in on)]
+    schema = facts.select(*on).schema.add("_copies", T.IntegerType())
+    hot = spark.createDataFrame([(*[r[c] for c in on], math.ceil(r["_rows"] / limit)) for r in keyed], schema)
+    no_key = F.lit(False)
+    for name in on:
+        no_key = no_key | F.col(name).isNull()
+    spread = F.xxhash64(spread_by)
+    # a local table of fewer than 10000 rows, see hot_keys
+    salted = facts.join(F.broadcast(hot), on, "left").withColumn("_salt", F.when(no_key, F.pmod(spread, F.lit(65536))).otherwise(
+        F.pmod(spread, F.coalesce("_copies", F.lit(1)))).cast("int")).drop("_copies")
+    copies = dim.join(F.broadcast(hot), on, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1))).drop("_copies")
     return salted.join(copies, [*on, "_salt"], "left").drop("_salt")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mailglass import rules
 from mailglass.functions import url as U
-from mailglass.functions.join import lookup_join
+from mailglass.functions.join import fits_broadcast, lookup_join
 from mailglass.functions.text import compact, flag
 from mailglass.session import materialize
 
@@ -62,14 +62,17 @@ def redirect_chains(starts: DataFrame, hops: DataFrame, limit: int = rules.MAX_R
     ``hops`` comes from :func:`prepare_hops`. Links without an outgoing hop are
     left out (their chain is the link itself). The hop joins go through
     ``lookup_join``, so a landing page that a third of all chains reach is
-    spread over several tasks.
+    spread over many tasks.
     """
     front = starts.select("url").join(hops.select(F.col("src").alias("url")), "url", "left_semi")
     empty = F.array().cast("array<string>")
     df = front.select("url", F.col("url").alias("cur"), F.array("url").alias("chain"), F.lit(0.0).alias("risk"),
                       F.lit(False).alias("flagged"), empty.alias("reasons"), F.lit(False).alias("done"))
     step = hops.withColumnRenamed("src", "cur")
+    small = fits_broadcast(step)
     for _ in range(limit):
+        if not small:  # the lookup counts its keys, so the walk so far is written, not redone
+            df = materialize(df)
         df = _follow(lookup_join(df, step, ["cur"], spread_by="url"))
     too_long = F.size("chain") >= limit
     return df.select(

@@ -74,7 +74,9 @@ if __name__ == "__main__":
     wanted = sys.argv[2:]
     session = get_session(master="local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "12g",
-        "spark.ui.showConsoleProgress": "false"})
+        "spark.ui.showConsoleProgress": "false",
+        # -1 sends every lookup down the salted path
+        "spark.sql.autoBroadcastJoinThreshold": os.environ.get("BROADCAST", "10485760")})
     session.sparkContext.setLogLevel("ERROR")
     queries, oracles = entry.queries(), entry.oracle_sql()
     engine = duck(sf)
