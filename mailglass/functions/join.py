@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 def estimated_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate of a plan, None where it is not reachable."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:  # Spark Connect has no plan handle
         return None
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ def lexicon_score(mail: DataFrame, text: str = "raw") -> DataFrame:
     df = df.withColumns({
         "business_context": business,
         "urgent_terms": count_true(F.contains("_low", F.lit(t)) for t in rules.URGENT_TERMS),
-        "threat_patterns": count_true(F.col("_low").rlike(p) for p in rules.THREAT_PATTERNS)})
+        "threat_patterns": count_true(matches(F.col("_low"), p) for p in rules.THREAT_PATTERNS)})
 
     def points(count: str) -> Column:
         n = F.col(count)
@@ -36,6 +38,20 @@ def lexicon_score(mail: DataFrame, text: str = "raw") -> DataFrame:
     }).drop("_low")
 
 
+def needed_literal(pattern: str) -> str:
+    """Longest plain text that every match of a rule pattern contains."""
+    bare = re.sub(r"\(\?:[^)]*\)\??|\\b|\.\*", "\0", pattern)
+    return max(bare.split("\0"), key=len)
+
+
+def matches(low: Column, pattern: str) -> Column:
+    """Whether a lower-case text matches a rule pattern. The plain part is
+    looked for first: a byte search settles almost every text."""
+    literal = needed_literal(pattern)
+    found = F.contains(low, F.lit(literal))
+    return found if literal == pattern else found & low.rlike(pattern)
+
+
 def is_high_risk(label: str) -> bool:
     return any(word in label.lower() for word in rules.HIGH_RISK_WORDS)
 
@@ -60,11 +76,11 @@ def indicators(mail: DataFrame, text: str = "raw") -> DataFrame:
     df = mail.withColumns({
         "_low": F.lower(F.col(text)),
         "_urls": suspicious_url_hits(F.col(text)),
-        "capital_words": F.regexp_count(text, F.lit(WORD_START + "[A-Z]{2,}" + WORD_END)),
+        "capital_words": F.regexp_count(text, F.lit("(?=[A-Z]{2})" + WORD_START + "[A-Z]{2,}" + WORD_END)),
         "exclamations": F.length(text) - F.length(F.replace(text, F.lit("!")))})
     lists, counts, high = {}, {}, F.lit(0)
     for family, (label, patterns) in rules.INDICATORS.items():
-        lists[f"_{family}"] = compact(flag(F.col("_low").rlike(p), f"{label}: '{p}'") for p in patterns)
+        lists[f"_{family}"] = compact(flag(matches(F.col("_low"), p), f"{label}: '{p}'") for p in patterns)
     df = df.withColumns(lists)
     for family, (label, patterns) in rules.INDICATORS.items():
         items = F.col(f"_{family}")
@@ -95,10 +111,11 @@ def blended_probability(knn: Column, n: Column, high: Column) -> Column:
 def hand_features(df: DataFrame, text: str = "text") -> DataFrame:
     """The eight hand-made features as columns f1 ... f8."""
     t = F.col(text)
-    words = "(?:" + "|".join(rules.SUSPICIOUS_TOKENS) + ")"
+    initials = "".join(sorted({w[0] for w in rules.SUSPICIOUS_TOKENS}))
+    words = f"(?=[{initials}])" + WORD_START + "(?:" + "|".join(rules.SUSPICIOUS_TOKENS) + ")"
     return df.withColumns({
         "url_count": F.regexp_count(t, F.lit(U.HOST_ONLY)),
-        "suspicious_words": F.regexp_count(F.lower(t), F.lit(WORD_START + words + WORD_END)),
+        "suspicious_words": F.regexp_count(F.lower(t), F.lit(words + WORD_END)),
         "reply_or_forward": t.rlike("(?i)^(?:Subject: Re:|Subject: Fwd:)").cast("int"),
         "text_length": F.length(t),
         "exclamation_count": F.length(t) - F.length(F.replace(t, F.lit("!"))),
@@ -124,7 +141,7 @@ def keyword_elements(df: DataFrame, text: str, prediction: str) -> DataFrame:
 # ---- image text ---------------------------------------------------------------------
 
 HOMOGLYPH = r"https?://[^\s<>\"]+"
-MENTION = WORD_START + r"(?:www\.)?(?:[a-zA-Z0-9][-a-zA-Z0-9]*\.)+[a-zA-Z]{2,}" + WORD_END
+MENTION = "(?=[a-zA-Z0-9])" + WORD_START + r"(?:www\.)?(?:[a-zA-Z0-9][-a-zA-Z0-9]*\.)+[a-zA-Z]{2,}" + WORD_END
 
 
 def text_hosts(text: Column) -> Column:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mailglass import rules
 from mailglass.functions.ranking import hash_cut, hash_index, hash_key
 
 SEED = 42
@@ -67,9 +68,7 @@ def sample_at_most(df: DataFrame, n: int, key: str = "id", seed: int = SEED) ->
 
 def render_feed(feed: DataFrame, url: str = "url") -> DataFrame:
     """A short labelled mail text around each address of a link feed."""
-    text = F.concat(
-        F.lit("Subject: Important Information\n\nDear User,\n\nPlease click on the following link to update your information:\n"),
-        F.col(url), F.lit("\n\nRegards,\nThe Team"))
+    text = F.replace(F.lit(rules.FEED_MAIL), F.lit("{url}"), F.col(url))
     return feed.select("*", text.alias("text"), F.lit("phishing").alias("label"))
 
 

@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from mailglass.session import spread
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -158,7 +160,7 @@ FROM pages"""
 URLS = f"""
 SELECT url FROM pages UNION SELECT url FROM ({MAIL}) m"""
 
-# redirect hops: a fixed seed plus one hop from most pages to the next page
+# redirect hops: a fixed seed plus one hop from each page, to the next page or out
 REDIRECTS = """
 SELECT src, dst, kind, ssl_ok FROM (
   SELECT 'http://bit.ly/2x4fGhY' AS src, 'http://hop1.example.tk/a' AS dst, 'http' AS kind, true AS ssl_ok
@@ -175,10 +177,10 @@ SELECT src, dst, kind, ssl_ok FROM (
   UNION ALL SELECT 'http://secure-banking-verification.com/restore.php', 'https://www.amazon.com/', 'http', false
   UNION ALL SELECT 'https://accounts.google.com/reset', 'https://www.google.com/account', 'http', true
   UNION ALL
-  SELECT p.url, q.url, CASE WHEN p.page_id % 5 = 2 THEN 'meta' ELSE 'http' END, p.page_id % 13 <> 6
+  SELECT p.url, CASE WHEN p.page_id % 4 = 3 THEN 'https://www.amazon.com/end' ELSE coalesce(q.url, 'http://last.example.org/') END,
+    CASE WHEN p.page_id % 5 = 2 THEN 'meta' ELSE 'http' END, p.page_id % 13 <> 6
   FROM (SELECT url, max(page_id) AS page_id FROM pages GROUP BY url) p
-  JOIN pages q ON q.page_id = p.page_id + 1
-  WHERE p.page_id % 4 <> 3
+  LEFT JOIN pages q ON q.page_id = p.page_id + 1
 ) hops"""
 
 MX = """
@@ -223,10 +225,10 @@ SELECT domain, reputation_score, blacklisted, blacklist_count, sources, ord FROM
   UNION ALL SELECT 'legittech.news', CAST(0.7 AS DOUBLE), false, 0, 'listB', 1
   UNION ALL SELECT 'amazon.com', CAST(0.1 AS DOUBLE), false, 0, 'ignored', 1) r"""
 
-# outcome of the signature check, one row per signed mail
+# outcome of the signature check; only that of signed mails is ever used
 DKIM = """
 SELECT doc_id AS mail_id, doc_id % 3 <> 0 AS verified, doc_id % 10 = 5 AS error
-FROM documents WHERE doc_id % 5 < 2"""
+FROM documents"""
 
 IP_GEO = """
 SELECT lo, hi, country FROM (
@@ -247,7 +249,10 @@ VIEWS = {
 def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
     """Expose driver tables of ``sf_dir`` under their own names."""
     for name in names:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        if name in ("documents", "pages"):  # long texts, often in a single split
+            df = spread(df)
+        df.createOrReplaceTempView(name)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

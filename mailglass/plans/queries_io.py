@@ -46,14 +46,14 @@ def s2(spark, sf_dir):
     return readers.read_mbox(spark, folder).select(F.regexp_replace("raw", r"\n+\z", "").alias("raw"))
 
 
-@query("s3_labelled_folders", build("SELECT id, CASE is_phishing WHEN 1 THEN 'phishing' ELSE 'legitimate' END AS label, length(body) AS n_chars FROM corpus WHERE regexp_matches(body, '^[\\x00-\\x7F]*$')", "corpus"))
+@query("s3_labelled_folders", build("SELECT id, CASE is_phishing WHEN 1 THEN 'phishing' ELSE 'legitimate' END AS label, CAST(octet_length(encode(body)) AS BIGINT) AS n_chars FROM corpus", "corpus"))
 def s3(spark, sf_dir):
     folder = scratch(spark, "folders")
     df = view(spark, sf_dir, "corpus").withColumn("box", F.when(F.col("is_phishing") == 1, "spam").otherwise("ham"))
     df.select("id", "box", "body").repartition("id").write.partitionBy("id", "box").text(folder)
     files = readers.read_labelled_folders(spark, folder, {"box=spam": "phishing", "box=ham": "legitimate"})
-    # the folder charset is Latin-1, so only plain ASCII texts come back letter by letter
-    files = files.withColumn("raw", F.regexp_replace("raw", r"\n\z", "")).filter(F.col("raw").rlike(r"^[\x00-\x7F]*$"))
+    # read as Latin-1, a text has as many characters as it has bytes
+    files = files.withColumn("raw", F.regexp_replace("raw", r"\n\z", ""))
     return files.select(F.regexp_extract("path", r"id=(\d+)/", 1).cast("long").alias("id"), "label", F.length("raw").cast("long").alias("n_chars"))
 
 

@@ -284,3 +284,24 @@ STOP_WORDS = [
     "too", "under", "until", "up", "very", "was", "we", "were", "what", "when",
     "where", "which", "while", "who", "whom", "why", "will", "with", "you", "your",
 ]
+
+# --- fixed values: advice and feed texts --------------------------------------------
+ADVICE_PHISHING = [
+    "Do not click on any links in this email",
+    "Do not download or open any attachments",
+    "Do not reply to this email",
+]
+ADVICE_NEW_DOMAIN = "This email is from a newly registered domain, which is suspicious"
+ADVICE_AUTH = "This email failed authentication checks (SPF/DKIM/DMARC)"
+ADVICE_LINKS = "Verify any mentioned organizations through official channels, not through links in this email"
+ADVICE_SIMILAR = "This email is similar to known phishing attempts in our database"
+ADVICE_MEDIUM = [
+    "Exercise caution with this email",
+    "Verify the sender through other channels before taking action",
+]
+ADVICE_HOVER = "Hover over links to verify their destination before clicking"
+FEED_MAIL = (
+    "Subject: Important Information\n\nDear User,\n\n"
+    "Please click on the following link to update your information:\n{url}\n\n"
+    "Regards,\nThe Team"
+)
