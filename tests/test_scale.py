@@ -87,6 +87,16 @@ def test_block_search_is_exact(spark, threshold):
         assert got == expected
 
 
+def test_vote_is_the_same_with_many_examples(spark):
+    rng = np.random.default_rng(5)
+    examples = spark.createDataFrame([(i, rng.normal(size=8).tolist(), i % 3 == 0) for i in range(30)], "id long, embedding array<double>, is_phishing boolean")
+    queries = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(50)], "id long, embedding array<double>")
+    short = {r.query_id: (round(r.phishing_probability, 6), round(r.confidence, 6)) for r in similarity.knn_vote(examples, queries).collect()}
+    long = {r.query_id: (round(r.phishing_probability, 6), round(r.confidence, 6)) for r in similarity.knn_vote(examples, queries, broadcast_rows=5).collect()}
+    assert short == long and len(short) == 50
+    assert {(r.phishing_probability, r.confidence) for r in similarity.knn_vote(examples.limit(0), queries).collect()} == {(0.5, 0.0)}
+
+
 def test_auc_agrees_with_the_evaluator(spark):
     df = spark.range(2000).select(((F.col("id") * 7919) % 101 / 100.0).alias("s"), ((F.col("id") * 31) % 7 < 3).cast("int").alias("y"))
     ours = models.roc_auc(df, "s").first().auc
