@@ -50,9 +50,9 @@ def confidence_histogram(detections: DataFrame, as_of: Column, days: int = 7, bi
     """Equal-width bins between the smallest and largest confidence of the
     last ``days`` days; the last bin includes its upper end."""
     recent = detections.filter(F.col("timestamp") >= F.date_sub(F.to_date(as_of), days)).select("confidence")
-    ends = recent.agg(F.min("confidence").alias("lo"), F.max("confidence").alias("hi"))
-    lo, hi = ends.select("lo").scalar(), ends.select("hi").scalar()
-    cell = F.when(hi > lo, F.least(F.floor((F.col("confidence") - lo) / ((hi - lo) / bins)), F.lit(bins - 1))).otherwise(0)
+    lo, hi = recent.agg(F.min("confidence"), F.max("confidence")).first()
+    cell = (F.least(F.floor((F.col("confidence") - lo) / ((hi - lo) / bins)), F.lit(bins - 1))
+            if lo is not None and hi > lo else F.lit(0))
     return recent.groupBy(cell.cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
