@@ -29,13 +29,16 @@ def get_session(app: str = "mailglass", master: str | None = None, **conf: str)
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by the cluster.
 
-    Only where ``spark.checkpoint.dir`` is unset (single-process tests) a local
-    folder stands in for it.
+    Where ``spark.checkpoint.dir`` is unset, a local folder stands in for it, but
+    only in a single-process session: elsewhere executors could not see it.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return folder.rstrip("/") if folder else tempfile.mkdtemp(prefix="mailglass-")
+    if folder:
+        return folder.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share (master {master!r})")
+    return tempfile.mkdtemp(prefix="mailglass-")
 
 
 def materialize(df: DataFrame) -> DataFrame:
