@@ -8,9 +8,9 @@ large the corpus is. It is kept as one array of bits, which every row reads; a
 term outside the band passes it with a chance of lexicon size / bits, the same
 term always alike.
 
-Subsets come in ``seeds`` families. Inside a family each subset keeps a random
-half of the one before, so long texts meet subsets of which they have few terms,
-and an edit elsewhere leaves those unchanged.
+Subsets come in ``families``. Inside a family each subset keeps a random quarter
+of the one before, so every text, however long, meets subsets of which it has few
+terms, and an edit elsewhere leaves those unchanged.
 """
 
 from __future__ import annotations
@@ -28,20 +28,20 @@ class Settings:
     """``least`` and ``most``: the band, as shares of all documents."""
 
     least: float = 0.001
-    most: float = 0.2
-    bits: int = 24
-    seeds: int = 4
-    halvings: int = 8
+    most: float = 0.02
+    bits: int = 20
+    families: int = 8
+    levels: int = 5
     slices: int = 256
     slice_rows: int = 4000
 
 
-WHITE = "\t\n\x0b\f\r"
+WHITE = "[ \\t\\n\\x0B\\f\\r]+"
 
 
 def terms(text: Column) -> Column:
     """Distinct 64-bit hashes of the words between white space, letters folded."""
-    words = F.split(F.translate(F.lower(text), WHITE, " " * len(WHITE)), " ")
+    words = F.split(F.lower(text), WHITE)
     return F.array_distinct(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w)))
 
 
@@ -67,44 +67,55 @@ def _seeded(seed: int):
     return lambda t: F.xxhash64(t, F.lit(seed))
 
 
-def _kept(halving: int):
-    return lambda t: t.bitwiseAND(F.lit((1 << halving) - 1)) == 0
+def _kept(shift: int, bits: int):
+    """Terms of which ``bits`` bits from ``shift`` on are 0."""
+    mask = ((1 << bits) - 1) << shift
+    return lambda t: t.bitwiseAND(F.lit(mask)) == 0
 
 
 def with_fingerprint(frame: DataFrame, text: str, table: DataFrame, name: str, s: Settings = Settings()) -> DataFrame:
-    """Adds ``name``: an array of seeds * halvings hashes, null where a text has no term of a subset.
+    """Adds ``name``: families * levels hashes, level by level, then that of all terms; null where a text has no term of a subset.
 
     A text without a term in the band is fingerprinted by all its terms; one without
     any word gets nulls only. Equal texts get equal arrays, whatever the order of words.
     """
     columns = frame.columns
     # a scalar subquery: the lexicon is read once and is the same value for all rows
-    found = frame.withColumn("_all", terms(F.col(text))).withColumn("_lexicon", table.scalar())
-    found = found.withColumn("_band", F.filter("_all", lambda t: _in_band(t, F.col("_lexicon"), s))).drop("_lexicon")
-    found = found.withColumn("_band", F.sort_array(F.when(F.size("_band") > 0, F.col("_band")).otherwise(F.col("_all")))).drop("_all")
-    hashes = []
-    for seed in range(s.seeds):
-        found = found.withColumn("_left", F.transform("_band", _seeded(seed)))
-        for halving in range(s.halvings):
-            if halving:
-                found = found.withColumn("_left", F.filter("_left", _kept(halving)))
-            at = f"_h{seed}_{halving}"
-            found = found.withColumn(at, F.when(F.size("_left") > 0, F.xxhash64("_left")))
-            hashes.append(at)
+    found = frame.select(*columns, terms(F.col(text)).alias("_all"), table.scalar().alias("_lexicon"))
+    found = found.select(*columns, "_all", F.filter("_all", lambda t: _in_band(t, F.col("_lexicon"), s)).alias("_band"))
+    found = found.select(*columns, F.sort_array(F.when(F.size("_band") > 0, F.col("_band")).otherwise(F.col("_all"))).alias("_band"))
+    a_hash = 60 // (2 * s.levels)  # families that one 64-bit hash has bits for
+    seeds = range(-(-s.families // a_hash))
+    found = found.select(*columns, "_band", *[F.transform("_band", _seeded(i)).alias(f"_s{i}") for i in seeds])
+    own = [(f, f // a_hash, f % a_hash * 2 * s.levels) for f in range(s.families)]
+    found = found.select(*columns, "_band", *[F.filter(f"_s{i}", _kept(shift, 2)).alias(f"_f{f}_0") for f, i, shift in own])
+    for level in range(1, s.levels):
+        found = found.select(*columns, "_band", *[f"_f{f}_{k}" for f, *_ in own for k in range(level)], *[F.filter(f"_f{f}_{level - 1}", _kept(shift + 2 * level, 2)).alias(f"_f{f}_{level}") for f, _, shift in own])
+    hashes = [F.when(F.size(c) > 0, F.hash(c, F.lit(f))) for c, f in [(f"_f{f}_{level}", f) for level in range(s.levels) for f, *_ in own] + [("_band", -1)]]
     return found.select(*columns, F.array(*hashes).alias(name))
 
 
 def as_text(fingerprint: Column) -> Column:
-    """Sixteen hex digits a subset, joined; dashes stand for a subset without terms."""
-    return F.array_join(F.transform(fingerprint, lambda h: F.coalesce(F.lower(F.lpad(F.hex(h), 16, "0")), F.lit("-" * 16))), "")
+    """Eight hex digits a subset, joined; dashes stand for a subset without terms."""
+    return F.array_join(F.transform(fingerprint, lambda h: F.coalesce(F.lower(F.right(F.lpad(F.hex(h), 8, "0"), F.lit(8))), F.lit("-" * 8))), "")
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Share of equal hashes among the subsets of which either text has a term; 1 if both have none."""
+def likeness(a: Column, b: Column, s: Settings = Settings()) -> Column:
+    """Share of equal hashes among the subsets of which either text has a term; 1 if both have none.
+
+    Levels at which every subset has terms are too dense to tell partial likeness and are
+    left out, other than the last level: equal texts are alike at all others anyway.
+    """
+    equal, either = F.lit(0), F.lit(0)
     pairs = F.arrays_zip(a.alias("a"), b.alias("b"))
-    equal = F.size(F.filter(pairs, lambda p: p["a"] == p["b"]))
-    either = F.size(F.filter(pairs, lambda p: p["a"].isNotNull() | p["b"].isNotNull()))
-    return F.when(either == 0, F.lit(1.0)).otherwise(equal / either)
+    for level in range(s.levels):
+        own = F.slice(pairs, level * s.families + 1, s.families)
+        same = F.size(F.filter(own, lambda p: p["a"] == p["b"]))
+        some = F.size(F.filter(own, lambda p: p["a"].isNotNull() | p["b"].isNotNull()))
+        counts = (some < s.families) | F.lit(level == s.levels - 1)
+        equal, either = equal + F.when(counts, same).otherwise(0), either + F.when(counts, some).otherwise(0)
+    whole = F.size(F.filter(pairs, lambda p: ~p["a"].eqNullSafe(p["b"]))) == 0
+    return F.when(whole, F.lit(1.0)).when(either == 0, F.lit(0.0)).otherwise(equal / either)
 
 
 def with_next(frame: DataFrame, key: str, columns: list[str], s: Settings = Settings(), prefix: str = "next_") -> DataFrame:
@@ -154,4 +165,4 @@ def fingerprint_documents(documents: DataFrame, s: Settings = Settings()) -> Dat
     edited = own.select("doc_id", n.cast("long").alias("n_chars"), "own", "next_own", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)).alias("edited"))
     both = with_fingerprint(edited, "edited", table, "other", s)
     return both.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), as_text(F.col("own")).alias("fingerprint"), as_text(F.col("other")).alias("edited_fingerprint"),
-                       likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("next_own")).alias("near_next"))
+                       likeness(F.col("own"), F.col("other"), s).alias("near_edited"), likeness(F.col("own"), F.col("next_own"), s).alias("near_next"))
