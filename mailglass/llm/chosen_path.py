@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from mailglass.llm import textbytes as tb
 from mailglass.llm.components import components
-from mailglass.llm.shared import materialize, text_of
+from mailglass.llm.shared import bloom_filtered, materialize, text_of
 
 
 @dataclass(frozen=True)
@@ -387,7 +387,9 @@ def near_duplicates(documents: DataFrame, s: Settings = Settings()) -> DataFrame
     sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
     grouped = groups.join(sizes, "root").select(F.col("node").alias("rep"), F.col("root").alias("grp"), "size").join(classes.select("rep", "class_id", "copies", "key"), "rep")
     texts = documents.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("class_id"), text_of(documents).alias("text"))
-    found = materialize(exact_links(materialize(grouped).join(texts, "class_id"), s))
+    with bloom_filtered(documents.sparkSession):  # texts of no group are left out before they are moved
+        members = materialize(grouped).filter("size > 1").join(texts, "class_id")
+        found = materialize(exact_links(members, s))
     linked = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     roots = components(found.filter("a <> b").select("a", "b")).withColumnRenamed("node", "rep")
     table = classes.select("key", "rep", "class_id", "copies").join(linked, "rep", "left").join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,3 +53,16 @@ def class_share(label: str, shares: dict) -> Column:
     for value, part in shares.items():
         share = F.when(F.col(label) == F.lit(value), F.lit(part)).otherwise(share)
     return share
+
+
+@contextmanager
+def bloom_filtered(spark: SparkSession):
+    """While it lasts, joins filter the longer side by a Bloom filter of the shorter one's
+    keys whatever the longer side's size; by default Spark does so from 10 GB on."""
+    key = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "0")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

@@ -1,14 +1,13 @@
 """WARC archives as a Python data source, read and written.
 
-Reading plans one partition per stretch of an archive. A partition begins at the
-first record header at or after its start and ends with the record that begins
-before its end. Headers are parsed first; a record that fails the pushed-down
-predicates on its type, id, target or date is skipped by its length, and its
-block is neither read nor decoded. The payload is read only when asked for
-(option ``payload``).
-
-Writing is two-phase: tasks write to a staging folder of their own write, the
-commit moves the files that belong to the result.
+Reading plans one partition per file: only from its first record on are the
+bounds of a file's records certain, since a payload may hold records itself.
+Headers are parsed first; a record that fails the pushed-down predicates on its
+type, id, target or date is skipped by its length, and its block is neither read
+nor decoded. The payload is read only when asked for (option ``payload``).
+
+Writing is two-phase: tasks write files of about ``file_bytes`` to a staging
+folder of their own write, the commit moves those that belong to the result.
 """
 
 from __future__ import annotations
@@ -32,19 +31,17 @@ SCHEMA = ", ".join(f"{c} string" for c in FIELDS) + ", headers map<string,string
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: A revisit has no payload; this header of our own says how long the one was that it stands for.
 LENGTH_HEADER = "X-Original-Payload-Length"
-SPLIT_BYTES = 32 << 20
+FILE_BYTES = 32 << 20
 
 
 @dataclass
-class Stretch(InputPartition):
+class Archive(InputPartition):
     file: str
-    start: int
-    end: int
 
 
 @dataclass
 class Written(WriterCommitMessage):
-    name: str | None
+    names: list[str]
 
 
 class WarcSource(DataSource):
@@ -109,7 +106,6 @@ class WarcReader(DataSourceReader):
 
     def __init__(self, options):
         self.path, self.payload = options.get("path"), options.get("payload", "true").lower() == "true"
-        self.split = int(options.get("split_bytes", SPLIT_BYTES))
         self.wanted: dict[str, set] = {}
 
     def pushFilters(self, filters):  # noqa: N802
@@ -122,7 +118,7 @@ class WarcReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[Stretch]:
+    def partitions(self) -> list[Archive]:
         from pyarrow import fs
 
         system, path = open_folder(self.path)
@@ -131,30 +127,16 @@ class WarcReader(DataSourceReader):
         own = system.get_file_info(path)
         files = [own] if own.is_file else system.get_file_info(fs.FileSelector(path, recursive=True))
         uri = lambda p: f"{scheme}{host}{p}" if scheme else p
-        return [Stretch(uri(f.path), a, min(a + self.split, f.size)) for f in files if f.is_file and f.path.endswith(".warc") and "/_staging" not in f.path for a in range(0, f.size, self.split)] or [Stretch("", 0, 0)]
+        return [Archive(uri(f.path)) for f in files if f.is_file and f.path.endswith(".warc") and "/_staging" not in f.path] or [Archive("")]
 
-    def _begins(self, window: _Window, at: int) -> int:
-        """First record at or after ``at``. The version line alone could stand in a payload,
-        so the head that follows must parse and the record must be followed by another or the end."""
-        while (at := window.until(at, VERSION)) >= 0:
-            if at == 0 or window.bytes(at - 4, 4) == b"\r\n\r\n":
-                end = window.until(at, b"\r\n\r\n")
-                length = parse_headers(window.bytes(at, end - at)).get("Content-Length", "") if end >= 0 else ""
-                after = end + 4 + int(length) if length.isdigit() else -1
-                if 0 <= after <= window.size - 4 and window.bytes(after, 4) == b"\r\n\r\n" and (after + 4 == window.size or window.bytes(after + 4, len(VERSION)) == VERSION):
-                    return at
-            at += 1
-        return -1
-
-    def read(self, part: Stretch) -> Iterator[pa.RecordBatch]:
+    def read(self, part: Archive) -> Iterator[pa.RecordBatch]:
         if not part.file:
             return
         system, path = open_folder(part.file)
         with system.open_input_file(path) as source:
             window = _Window(source, source.size())
-            at = 0 if part.start == 0 else self._begins(window, part.start)
-            rows, held = [], 0
-            while 0 <= at < part.end:
+            at, rows, held = 0, [], 0
+            while at < window.size:
                 end = window.until(at, b"\r\n\r\n")
                 if end < 0 or window.bytes(at, len(VERSION)) != VERSION:
                     raise ValueError(f"{part.file}: no record at {at}")
@@ -192,6 +174,7 @@ class WarcWriter(DataSourceArrowWriter):
 
     def __init__(self, options):
         self.folder, self.run = options["path"], uuid.uuid4().hex
+        self.file_bytes = int(options.get("file_bytes", FILE_BYTES))
 
     def _staging(self):
         system, path = open_folder(self.folder)
@@ -199,18 +182,21 @@ class WarcWriter(DataSourceArrowWriter):
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         system, _, staging = self._staging()
-        name, out = f"part-{uuid.uuid4().hex}.warc", None
+        names, out = [], None
         for batch in batches:
-            if batch.num_rows and out is None:
-                system.create_dir(staging, recursive=True)
-                out = system.open_output_stream(f"{staging}/{name}", buffer_size=1 << 20)
             for row in batch.to_pylist():
+                if out is None:
+                    names.append(f"part-{uuid.uuid4().hex}.warc")
+                    system.create_dir(staging, recursive=True)
+                    out = system.open_output_stream(f"{staging}/{names[-1]}", buffer_size=1 << 20)
                 body, headers = self._record(row)
                 out.write(header_block(headers, len(body)) + body + b"\r\n\r\n")
-        if out is None:
-            return Written(None)
-        out.close()
-        return Written(name)
+                if out.tell() >= self.file_bytes:
+                    out.close()
+                    out = None
+        if out is not None:
+            out.close()
+        return Written(names)
 
     def _record(self, row: dict) -> tuple[bytes, dict]:
         headers = {"WARC-Type": row["record_type"], "WARC-Record-ID": row["record_id"], "WARC-Date": row["date"], "WARC-Target-URI": row["target_uri"],
@@ -223,8 +209,7 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages) -> None:
         system, path, staging = self._staging()
         system.create_dir(path, recursive=True)
-        names = [m.name for m in messages if m is not None and m.name]
-        for name in names:
+        for name in (n for m in messages if m is not None for n in m.names):
             system.move(f"{staging}/{name}", f"{path}/{name}")
         self._clear(system, staging)
 
@@ -268,9 +253,9 @@ def records_of(pages: DataFrame, shortest: int = 100, date: str = "2024-01-01T00
         F.when(revisit, record_urn(F.col("first"))).alias("refers_to"), F.concat(F.lit("sha256:"), "digest").alias("payload_digest"), "payload_bytes", F.when(~revisit, F.col("payload")).alias("payload"))
 
 
-def write_warc(records: DataFrame, folder: str) -> None:
+def write_warc(records: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> None:
     register(records.sparkSession)
-    records.write.format("warc").mode("append").save(folder)
+    records.write.format("warc").option("file_bytes", str(file_bytes)).mode("append").save(folder)
 
 
 def read_warc(spark: SparkSession, folder: str, payload: bool = True) -> DataFrame:
