@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailglass.llm import chosen_path, language_id, packing, quality
-from mailglass.llm.queries import ACCEPT, domain, held_out, mixed, table
+from mailglass.llm.queries import ACCEPT, MAX_EPOCHS, domain, held_out, mixed, table
 from mailglass.llm.shared import materialize
 
 #: Documents have no other stage in SQL: trained models and sketches decide (see tests/llm).
@@ -40,7 +40,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many tokens as came in, by the weights of the tree; a text taken in k epochs is k rows."""
-    taken = mixed(spark, docs.withColumn("_domain", domain()), F.floor(F.col("capacity") / 4))
+    taken = mixed(spark, docs.withColumn("_domain", domain()), F.floor(F.col("capacity") / MAX_EPOCHS), "_domain")
     return taken.withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
 
 

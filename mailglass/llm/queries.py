@@ -93,8 +93,8 @@ def domain():
     return F.element_at(F.array(*map(F.lit, "abcd")), digit % 4 + 1)
 
 
-def weight_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(WEIGHTS, "level string, node string, weight long")
+def weight_table(spark: SparkSession, top: str) -> DataFrame:
+    return spark.createDataFrame([(top if level == LEVELS[0] else level, node, w) for level, node, w in WEIGHTS], "level string, node string, weight long")
 
 
 def _share_out_sql(depth: int) -> str:
@@ -126,8 +126,9 @@ SELECT doc_id, domain, lang, source, CAST(n AS BIGINT) AS n_tokens, CAST(whole +
 """
 
 
-def mixed(spark: SparkSession, documents: DataFrame, budget) -> DataFrame:
-    return mixing.mix(documents, weight_table(spark), LEVELS, budget, MAX_EPOCHS)
+def mixed(spark: SparkSession, documents: DataFrame, budget, top: str = LEVELS[0]) -> DataFrame:
+    """``top`` is the column of the tree's first level."""
+    return mixing.mix(documents, weight_table(spark, top), [top, *LEVELS[1:]], budget, MAX_EPOCHS)
 
 
 @query("op6_mixing", _op6_sql())
