@@ -113,8 +113,13 @@ def fit(documents: DataFrame, train: Column, s: Settings = Settings()) -> Model:
         for i in np.flatnonzero(sums.any(1)):
             yield pa.RecordBatch.from_pydict({"language": [int(i)], "sums": [sums[i].tobytes()]})
 
+    def add(table: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(x.as_py()) for x in table.column("sums")], axis=0)
+        return pa.table({"language": table.column("language").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
+
     sums = np.zeros((len(languages), s.buckets))
-    for row in sample.mapInArrow(count, "language long, sums binary").toLocalIterator():  # 6 x languages rows of fixed size
+    parts = sample.mapInArrow(count, "language long, sums binary")
+    for row in parts.groupBy("language").applyInArrow(add, "language long, sums binary").collect():  # one row a language, of fixed size
         sums[row.language] += np.frombuffer(row.sums)
     codes = codewords(len(languages), s.seed)
     share = sums / np.maximum(sums.sum(1, keepdims=True), 1)  # every language counts the same
@@ -148,7 +153,7 @@ def _trust(sample: DataFrame, model: Model, place: dict, s: Settings) -> None:
 
     model_shape = model.codes.shape
     rows, sums = np.zeros(model_shape[0]), np.zeros((2, *model_shape))
-    for row in sample.mapInArrow(check, "rows binary, sums binary").toLocalIterator():
+    for row in sample.mapInArrow(check, "rows binary, sums binary").collect():  # three numbers a language and bit, from six tasks
         rows += np.frombuffer(row.rows)
         sums += np.frombuffer(row.sums).reshape(sums.shape)
     right = sums[0] / np.maximum(rows, 1)[:, None]

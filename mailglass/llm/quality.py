@@ -104,6 +104,19 @@ def _rows(batch: pa.RecordBatch, s: Settings) -> Iterator[tuple[np.ndarray, np.n
             yield np.append(own, s.buckets), np.append(times / max(k, 1), 1.0), float(labels[first + i])
 
 
+def _shard_pass(sums, s: Settings):
+    def run(table: pa.Table) -> pa.Table:
+        z, n = (x.copy() for x in sums.value)
+        table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
+        table = table.take(pa.array(np.random.default_rng(s.seed).permutation(table.num_rows)))
+        for k in range(0, table.num_rows, 500):
+            for batch in table.slice(k, 500).combine_chunks().to_batches():
+                train_pass(_rows(batch, s), z, n, s)
+        return pa.table({"rows": pa.array([table.num_rows], pa.int64()), "z": pa.array([z.tobytes()], pa.binary()), "n": pa.array([n.tobytes()], pa.binary())})
+
+    return run
+
+
 def fit(documents: DataFrame, labels: DataFrame, train: Column, s: Settings = Settings()) -> np.ndarray:
     """Weights, the bias last. ``labels`` has doc_id and label (0 or 1); ``train`` is a
     condition on doc_id. Rows with a null id or label teach nothing; a document that
@@ -115,27 +128,15 @@ def fit(documents: DataFrame, labels: DataFrame, train: Column, s: Settings = Se
     known = labels.filter(train & F.col("doc_id").isNotNull() & F.col("label").isin(0, 1))
     shares = share_per_class(known, "label", s.per_class)
     drawn = known.filter(uniform("doc_id", seed=s.seed) < class_share("label", shares)).select("doc_id", F.col("label").cast("double"))
-    order = uniform("doc_id", seed=s.seed + 1)
-    sample = materialize(documents.select("doc_id", text_of(documents).alias("text")).join(F.broadcast(drawn), "doc_id").select("text", "label", "doc_id").repartition(s.shards, order).sortWithinPartitions(order))
+    shard = F.pmod(F.xxhash64("doc_id", F.lit(s.seed)), F.lit(s.shards))
+    sample = materialize(documents.select("doc_id", text_of(documents).alias("text")).join(F.broadcast(drawn), "doc_id").select("text", "label", "doc_id", shard.alias("shard")))
     z, n = np.zeros(s.buckets + 1), np.zeros(s.buckets + 1)
     if not shares:
         return weights_of(z, n, s)
-    z[s.buckets] = 0.0
     for _ in range(s.passes):
         sums = spark.sparkContext.broadcast((z, n))
-
-        def shard(batches: Iterator[pa.RecordBatch], sums=sums) -> Iterator[pa.RecordBatch]:
-            own_z, own_n = (x.copy() for x in sums.value)
-            rows = 0
-            for batch in batches:
-                for k in range(0, batch.num_rows, 500):
-                    part = batch.slice(k, 500)
-                    rows += part.num_rows
-                    train_pass(_rows(part, s), own_z, own_n, s)
-            if rows:
-                yield pa.RecordBatch.from_pydict({"rows": [rows], "z": [own_z.tobytes()], "n": [own_n.tobytes()]})
-
-        parts = sample.mapInArrow(shard, "rows long, z binary, n binary").collect()  # at most as many rows as shards... of two numbers a bucket
+        # one row a shard, of two numbers a bucket
+        parts = sample.groupBy("shard").applyInArrow(_shard_pass(sums, s), "rows long, z binary, n binary").collect()
         seen = sum(p.rows for p in parts)
         z = sum(np.frombuffer(p.z) * (p.rows / seen) for p in parts)
         n = sum(np.frombuffer(p.n) * (p.rows / seen) for p in parts)

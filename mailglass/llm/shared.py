@@ -5,6 +5,9 @@ from __future__ import annotations
 import uuid
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,3 +69,18 @@ def bloom_filtered(spark: SparkSession):
         yield
     finally:
         spark.conf.set(key, before)
+
+
+def tree_sum(parts: DataFrame, n: int, fan: int = 32) -> DataFrame:
+    """One row: weight and element-wise sums of ``n`` parts (part, weight, sums), added up
+    ``fan`` at a time, so that no task sees more. ``sums`` are doubles as bytes."""
+    while True:
+        parts = parts.withColumn("part", F.floor(F.col("part") / fan).cast("long")).groupBy("part").applyInArrow(_sum, "part long, weight double, sums binary")
+        n = -(-n // fan)
+        if n <= 1:
+            return parts
+
+
+def _sum(table: pa.Table) -> pa.Table:
+    total = np.sum([np.frombuffer(x.as_py()) for x in table.column("sums")], axis=0)
+    return pa.table({"part": table.column("part").slice(0, 1), "weight": pa.array([sum(table.column("weight").to_pylist())], pa.float64()), "sums": pa.array([total.tobytes()], pa.binary())})
