@@ -9,11 +9,21 @@ from mailglass import rules
 from mailglass.functions.text import first_match
 
 
+def unix_lines(raw: Column) -> Column:
+    return F.replace(raw, F.lit("\r\n"), F.lit("\n"))
+
+
 def headers_of(raw: Column) -> Column:
-    return F.substring_index(raw, "\n\n", 1)
+    return F.substring_index(unix_lines(raw), "\n\n", 1)
+
+
+def unfold(headers: Column) -> Column:
+    """Header lines that go on in an indented line, as one line each."""
+    return F.regexp_replace(headers, "\n[ \t]+", " ")
 
 
 def body_of(raw: Column) -> Column:
+    raw = unix_lines(raw)
     cut = F.instr(raw, "\n\n")
     return F.when(cut > 0, F.substring(raw, cut + F.lit(2), F.length(raw))).otherwise(raw)
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from mailglass import rules
 from mailglass.functions.join import lookup_join
 from mailglass.functions.text import compact, first_match, flag, weighted_mean
-from mailglass.operators.mail import header_line, headers_of
+from mailglass.operators.mail import header_line, headers_of, unfold
 
 ADDRESS = r"^([a-zA-Z0-9._%+-]+)@([a-zA-Z0-9.-]+\.[a-zA-Z]{2,})$"
 IPV4 = r"^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])$"
@@ -77,14 +77,14 @@ def spf(domains: DataFrame, dns_txt: DataFrame, compat: bool = False) -> DataFra
     df = domains.join(records, "domain", "left")
     text = F.col("spf_record") if compat else F.regexp_replace("spf_record", '"', "")
     tokens = F.filter(F.split(text, " "), lambda m: m != "")
-    df = df.withColumn("spf_mechanisms", F.slice(tokens, 2, 1000000))
+    df = df.withColumn("spf_mechanisms", F.slice(tokens, F.lit(2), F.greatest(F.size(tokens), F.lit(0))))
     first_all = F.try_element_at(F.filter("spf_mechanisms", lambda m: m.isin("+all", "-all", "~all", "?all")), F.lit(1))
     df = df.withColumns({
         "has_spf": F.col("spf_record").isNotNull(),
         "spf_all": first_all,
         "spf_valid": F.lit(False) if compat else F.coalesce(spf_is_valid(F.col("spf_mechanisms")), F.lit(False)),
         "spf_includes": F.transform(F.filter("spf_mechanisms", lambda m: F.startswith(m, F.lit("include:"))),
-                                    lambda m: F.substring(m, 9, 1000000)),
+                                    lambda m: F.substring(m, F.lit(9), F.length(m))),
     })
     by_all = (F.when(F.col("spf_all") == "-all", 0.2).when(F.col("spf_all") == "~all", 0.4)
               .when(F.col("spf_all") == "?all", 0.6).when(F.col("spf_all") == "+all", 0.8).otherwise(0.5))
@@ -97,7 +97,7 @@ def dmarc(domains: DataFrame, dns_txt: DataFrame) -> DataFrame:
     """DMARC policy of each domain; no answer counts as a failed lookup."""
     is_record = F.contains("txt", F.lit("v=DMARC1"))
     records = (dns_txt.filter(F.startswith("name", F.lit("_dmarc.")))
-               .groupBy(F.substring("name", 8, 1000).alias("domain"))
+               .groupBy(F.substring(F.col("name"), F.lit(8), F.length("name")).alias("domain"))
                .agg(F.min_by(F.when(is_record, F.regexp_replace("txt", '"', "")), F.when(is_record, F.col("ord"))).alias("dmarc_record"),
                     F.bool_or(F.col("status") == "NOERROR").alias("_answered")))
     df = domains.join(records, "domain", "left")
@@ -164,7 +164,7 @@ def domain_profile(domains: DataFrame, whois: DataFrame, dns_txt: DataFrame, rep
 
 def dkim(mail: DataFrame, results: DataFrame) -> DataFrame:
     """Signature facts of each mail joined to the recorded check outcome."""
-    signature = header_line(headers_of(F.col("raw")), "DKIM-Signature")
+    signature = header_line(unfold(headers_of(F.col("raw"))), "DKIM-Signature")
     df = mail.withColumn("_sig", signature).join(results.select("mail_id", "verified", "error"), "mail_id", "left")
     valid = F.col("_sig").isNotNull() & F.coalesce("verified", F.lit(False)) & ~F.coalesce("error", F.lit(False))
     return df.withColumns({
