@@ -6,7 +6,7 @@ projection over the exploded link rows without any shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -103,27 +103,75 @@ def with_normalized(df: DataFrame, column: str, alias: str) -> DataFrame:
     return df.select(*[c for c in keep if c != alias], unquote(F.col("_joined")).alias(alias))
 
 
-def suffix_of(host: Column, suffixes: Iterable[str] = tuple(rules.PUBLIC_SUFFIXES)) -> Column:
-    """Longest known public suffix of a host (three labels at most), '' if none."""
-    known = list(suffixes)
-    last_three = F.substring_index(host, ".", -3)
-    last_two = F.substring_index(host, ".", -2)
-    last_one = F.substring_index(host, ".", -1)
-    return F.coalesce(
-        F.when(last_three.isin(known), last_three),
-        F.when(last_two.isin(known), last_two),
-        F.when(last_one.isin(known), last_one), F.lit(""))
+class Suffixes(NamedTuple):
+    """Public-suffix rules by kind, without their marks."""
+
+    plain: tuple[str, ...]
+    wildcard: tuple[str, ...] = ()
+    exception: tuple[str, ...] = ()
+
+
+# This engine's own short table, used where the caller passes none.
+BUILT_IN = Suffixes(tuple([
+    "com", "net", "org", "edu", "gov", "info", "biz", "io", "co", "tv", "me",
+    "ly", "gl", "so", "gd", "mp", "im", "cc", "eu", "uk", "de", "fr", "es",
+    "it", "nl", "ie", "us", "ca", "au", "jp", "cn", "ru", "in", "br",
+    "tk", "ga", "cf", "ml", "gq", "xyz", "top", "club", "news", "app", "dev",
+    "online", "site", "shop", "co.uk", "org.uk", "ac.uk", "gov.uk", "com.au",
+    "co.jp", "com.br", "co.in", "co.nz",
+]))
+MAX_SUFFIX_RULES = 100_000
+
+
+def suffix_rules(table: DataFrame, column: str = "suffix") -> Suffixes:
+    """Rules of a suffix table in the public list's notation: ``co.uk``, ``*.ck``, ``!www.ck``.
+
+    Such a list is a setting of about ten thousand rows whatever the mails are,
+    and it becomes a hash set inside the plan. A table that is larger than
+    ``MAX_SUFFIX_RULES`` is no suffix list and an error. Nulls and blanks are skipped.
+    """
+    rule = F.lower(F.trim(F.col(column)))
+    rows = table.select(rule.alias("rule")).filter("rule <> ''").distinct().limit(MAX_SUFFIX_RULES + 1).collect()
+    if len(rows) > MAX_SUFFIX_RULES:
+        raise ValueError(f"more than {MAX_SUFFIX_RULES} rules: not a suffix list")
+    rules_ = sorted(r.rule for r in rows)
+    return Suffixes(tuple(r for r in rules_ if r[0] not in "*!"), tuple(r[2:] for r in rules_ if r.startswith("*.")),
+                    tuple(r[1:] for r in rules_ if r[0] == "!"))
+
+
+def suffix_of(host: str, suffixes: Suffixes = BUILT_IN) -> Column:
+    """Public suffix of a host column: what an exception rule leaves, else the
+    longest plain or wildcard rule, else the last of several labels ('' for a
+    single label that no rule names). Rules may have any number of labels.
+    """
+    def last(n: int) -> Column:
+        return F.substring_index(host, ".", -n)
+
+    def listed(n: int, names: tuple[str, ...]) -> Column | None:
+        own = [r.replace("\\", "\\\\").replace("'", "\\'") for r in names if r.count(".") == n - 1]
+        return F.expr(f"substring_index({host}, '.', -{n}) IN ({', '.join(f'{chr(39)}{r}{chr(39)}' for r in own)})") if own else None
+
+    longest = max((r.count(".") + 2 for kind in suffixes for r in kind), default=1)
+    excepted, found = [], []
+    for n in range(longest, 0, -1):
+        if (hit := listed(n, suffixes.exception)) is not None:
+            excepted.append(F.when(hit, last(n - 1)))
+        if (hit := listed(n, suffixes.plain)) is not None:
+            found.append(F.when(hit, last(n)))
+        if n > 1 and (hit := listed(n - 1, suffixes.wildcard)) is not None:
+            found.append(F.when(hit & (last(n) != last(n - 1)), last(n)))
+    return F.coalesce(*excepted, *found, F.when(F.contains(F.col(host), F.lit(".")), last(1)), F.lit(""))
 
 
 IP_HOST = r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"
 
 
-def with_parts(df: DataFrame, column: str = "url", suffixes: Iterable[str] = tuple(rules.PUBLIC_SUFFIXES)) -> DataFrame:
+def with_parts(df: DataFrame, column: str = "url", suffixes: Suffixes = BUILT_IN) -> DataFrame:
     """Add scheme, netloc, host, port, path, query and the host split."""
     url = F.col(column)
     df = df.withColumns({"scheme": scheme(url), "netloc": netloc(url), "path": path(url), "query": query(url)})
     df = df.withColumns({"host": host_of(F.col("netloc")), "port": port_of(F.col("netloc"))})
-    df = df.withColumn("suffix", F.when(F.col("host").rlike(IP_HOST), F.lit("")).otherwise(suffix_of(F.col("host"), suffixes)))
+    df = df.withColumn("suffix", F.when(F.col("host").rlike(IP_HOST), F.lit("")).otherwise(suffix_of("host", suffixes)))
     host, suffix = F.col("host"), F.col("suffix")
     stem = F.when(suffix == "", host).when(host == suffix, F.lit("")).otherwise(
         F.left(host, F.length(host) - F.length(suffix) - 1))

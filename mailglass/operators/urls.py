@@ -24,33 +24,33 @@ def simple_links(mail: DataFrame, text: str = "raw", host_only: bool = False) ->
     return mail.select("mail_id", F.posexplode(U.scan_urls(F.col(text), host_only)).alias("pos", "link"))
 
 
-def score_structure_and_domain(links: DataFrame, compat: bool = False) -> DataFrame:
+def score_structure_and_domain(links: DataFrame, compat: bool = False, suffixes: U.Suffixes = U.BUILT_IN) -> DataFrame:
     """Normalise each link and apply the domain and structure rules (no shuffle)."""
-    df = U.with_parts(U.with_normalized(links, "raw_url", "url"))
+    df = U.with_parts(U.with_normalized(links, "raw_url", "url"), suffixes=suffixes)
     df = U.domain_rules(df, compat)
     return U.structure_rules(df, compat=compat)
 
 
-def prepare_hops(edges: DataFrame, compat: bool = False) -> DataFrame:
+def prepare_hops(edges: DataFrame, compat: bool = False, suffixes: U.Suffixes = U.BUILT_IN) -> DataFrame:
     """One outgoing hop per normalised source, with its pair and target scores."""
     df = U.with_normalized(edges.select("src", "dst", "kind", "ssl_ok"), "src", "src")
     df = U.with_normalized(df, "dst", "dst")
     df = df.groupBy("src").agg(F.min(F.struct("dst", "kind", "ssl_ok")).alias("hop")).select("src", "hop.*")
-    df = score_hop_pairs(df, compat)
-    target = U.domain_rules(U.with_parts(df, "dst"), compat)
+    df = score_hop_pairs(df, compat, suffixes)
+    target = U.domain_rules(U.with_parts(df, "dst", suffixes), compat)
     # read once per hop by redirect_chains, so it is scored and written once
     return materialize(target.select(
         "src", "dst", "kind", "ssl_ok", "pair_suspicious", F.col("dom_suspicious").alias("dst_suspicious"),
         F.col("dom_risk").alias("dst_risk"), F.col("dom_reasons").alias("dst_reasons")))
 
 
-def score_hop_pairs(edges: DataFrame, compat: bool = False) -> DataFrame:
+def score_hop_pairs(edges: DataFrame, compat: bool = False, suffixes: U.Suffixes = U.BUILT_IN) -> DataFrame:
     """Add pair_suspicious to rows with src and dst."""
     wanted = ["scheme", "port", "registered_domain"]
     df = edges
     for side in ("src", "dst"):
         keep = df.columns
-        df = U.with_parts(df, side)
+        df = U.with_parts(df, side, suffixes)
         df = df.select(*keep, *[F.col(c).alias(f"_{side}_{c}") for c in wanted])
     return df.withColumn("pair_suspicious", U.pair_is_suspicious("_src", "_dst", "dst", compat)) \
         .select(*edges.columns, "pair_suspicious")
@@ -111,13 +111,13 @@ def _follow(df: DataFrame) -> DataFrame:
         (~yes(moved)).alias("done"))
 
 
-def link_verdicts(links: DataFrame, hops: DataFrame | None = None, compat: bool = False) -> DataFrame:
+def link_verdicts(links: DataFrame, hops: DataFrame | None = None, compat: bool = False, suffixes: U.Suffixes = U.BUILT_IN) -> DataFrame:
     """Per-link verdict: max risk and joined reasons of the suspicious parts.
 
     ``links`` has (mail_id, pos, raw_url); rows with a null link pass through
-    with zero risk.
+    with zero risk. ``suffixes`` comes from ``functions.url.suffix_rules``.
     """
-    df = score_structure_and_domain(links, compat)
+    df = score_structure_and_domain(links, compat, suffixes)
     if hops is None:
         df = df.withColumns({"red_suspicious": F.lit(False), "red_risk": F.lit(0.0), "chain_length": F.lit(1),
                              "red_reasons": F.array().cast("array<string>")})

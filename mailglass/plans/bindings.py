@@ -11,6 +11,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from mailglass.functions.url import BUILT_IN
 from mailglass.session import spread
 
 TABLES = (
@@ -51,7 +52,9 @@ SELECT mail_id, sender, domain, recipient, sent_at, subject, phrase, url, is_phi
     CASE WHEN mail_id % 7 = 6 THEN concat('X-Mailer: BulkSend 2.1', chr(10)) ELSE '' END,
     chr(10),
     '<p>', phrase, '</p><a href="', url, '">go</a> ',
-    CASE WHEN mail_id % 3 = 0 THEN concat('see ', second_url, ' or http://free-gift.top/a or ', url, ' now') ELSE '' END,
+    CASE WHEN mail_id % 3 = 0 THEN concat('see ', second_url, ' or http://free-gift.top/a or ', CASE mail_id % 4
+      WHEN 0 THEN 'https://google.cm/x' WHEN 1 THEN 'http://a.b.k12.ca.us/p' WHEN 2 THEN 'http://www.shop.co.ck/' ELSE 'http://www.ck/y' END,
+      ' or ', url, ' now') ELSE '' END,
     chr(10), text) AS raw
 FROM (
   SELECT d.doc_id AS mail_id, d.text AS text,
@@ -61,7 +64,7 @@ FROM (
     concat(CASE d.doc_id % 5 WHEN 0 THEN '5' WHEN 1 THEN '41' WHEN 2 THEN '101' WHEN 3 THEN '196' ELSE '8' END,
            '.', CAST(d.doc_id % 256 AS STRING), '.', CAST((d.doc_id * 7) % 256 AS STRING),
            '.', CAST(1 + d.doc_id % 200 AS STRING)) AS origin_ip,
-    e.ts AS sent_at,
+    coalesce(e.ts, TIMESTAMP '2024-01-01 00:00:00') AS sent_at,
     CASE d.doc_id % 7
       WHEN 0 THEN 'Please verify your login' WHEN 1 THEN 'Invoice and shipping update'
       WHEN 2 THEN 'Security notice' WHEN 3 THEN 'Re: you have won'
@@ -87,7 +90,7 @@ FROM (
     coalesce(p.url, 'http://loop-a.example.org/start') AS second_url,
     coalesce(l.toxic, 0) AS is_phishing
   FROM documents d
-  JOIN events e ON e.event_id = d.doc_id
+  LEFT JOIN events e ON e.event_id = d.doc_id
   LEFT JOIN labels l ON l.doc_id = d.doc_id
   LEFT JOIN pages p ON p.page_id = d.doc_id
 ) base"""
@@ -158,7 +161,15 @@ FROM pages"""
 
 # every distinct address seen in pages and mails
 URLS = f"""
-SELECT url FROM pages UNION SELECT url FROM ({MAIL}) m"""
+SELECT url FROM pages UNION SELECT url FROM ({MAIL}) m
+UNION SELECT concat('http://h', CAST(page_id % 50 AS STRING), CASE page_id % 9
+  WHEN 0 THEN '.google.cm/x' WHEN 1 THEN '.shop.pl/' WHEN 2 THEN '.b.se' WHEN 3 THEN '.c.store/a'
+  WHEN 4 THEN '.x.city.kawasaki.jp/' WHEN 5 THEN '.y.other.kawasaki.jp/' WHEN 6 THEN '.school.k12.ca.us/p'
+  WHEN 7 THEN '.www.ck/' ELSE '.a.b.pvt.k12.ma.us/q' END) FROM pages"""
+
+# rules as the public list writes them: the engine's own short table and some of each other kind
+SUFFIX_RULES = [*BUILT_IN.plain, "k12.ca.us", "pvt.k12.ma.us", "jp", "*.kawasaki.jp", "!city.kawasaki.jp", "*.ck", "!www.ck"]
+SUFFIXES = "SELECT suffix FROM (VALUES " + ", ".join(f"('{r}')" for r in SUFFIX_RULES) + ") AS s(suffix)"
 
 # redirect hops: a fixed seed plus one hop from each page, to the next page or out
 REDIRECTS = """
@@ -242,7 +253,7 @@ VIEWS = {
     "mail": MAIL, "history": HISTORY, "detections": DETECTIONS, "feedback": FEEDBACK,
     "corpus": CORPUS, "vectors": VECTORS, "prob": PROB, "images": IMAGES, "html": HTML,
     "urls": URLS, "redirects": REDIRECTS, "mx": MX, "whois": WHOIS, "dns_txt": DNS_TXT,
-    "reputation": REPUTATION, "dkim": DKIM, "ip_geo": IP_GEO,
+    "suffixes": SUFFIXES, "reputation": REPUTATION, "dkim": DKIM, "ip_geo": IP_GEO,
 }
 
 

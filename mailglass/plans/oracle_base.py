@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from mailglass import rules
 from mailglass.plans import bindings
+from mailglass.plans.bindings import SUFFIX_RULES
 
 BLOCKS: dict[str, tuple[tuple[str, ...], str]] = {
     name: ((), bindings.cte(name)) for name in bindings.VIEWS
@@ -141,24 +142,27 @@ FROM (SELECT *, lower(regexp_extract(n_full, {NETLOC}, 1)) AS n_auth,
 
 def parts(source: str, column: str) -> str:
     """Rows of ``source`` with scheme, netloc, host split, port, path, query."""
-    known = in_list(rules.PUBLIC_SUFFIXES)
+    plain = in_list(r for r in SUFFIX_RULES if r[0] not in "*!")
+    wildcard = in_list(r[2:] for r in SUFFIX_RULES if r[0] == "*")
+    exception = in_list(r[1:] for r in SUFFIX_RULES if r[0] == "!")
     ip = r"regexp_matches(host, '^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$')"
     return f"""
-SELECT *, CASE WHEN domain <> '' AND suffix <> '' THEN domain || '.' || suffix ELSE '' END AS registered_domain,
+SELECT * EXCLUDE (tails), CASE WHEN domain <> '' AND suffix <> '' THEN domain || '.' || suffix ELSE '' END AS registered_domain,
   CASE WHEN length(host) > length(domain) + CASE WHEN suffix = '' THEN 0 ELSE length(suffix) + 1 END
        THEN substr(host, 1, length(host) - length(domain) - CASE WHEN suffix = '' THEN 0 ELSE length(suffix) + 1 END - 1)
        ELSE '' END AS subdomain
 FROM (SELECT *, CASE WHEN {ip} THEN host WHEN suffix = '' THEN string_split(host, '.')[-1]
                      WHEN host = suffix THEN '' ELSE string_split(substr(host, 1, length(host) - length(suffix) - 1), '.')[-1] END AS domain
   FROM (SELECT *, CASE WHEN {ip} THEN '' ELSE coalesce(
-          CASE WHEN array_to_string(string_split(host, '.')[-3:], '.') IN {known} THEN array_to_string(string_split(host, '.')[-3:], '.') END,
-          CASE WHEN array_to_string(string_split(host, '.')[-2:], '.') IN {known} THEN array_to_string(string_split(host, '.')[-2:], '.') END,
-          CASE WHEN string_split(host, '.')[-1] IN {known} THEN string_split(host, '.')[-1] END, '') END AS suffix
+          [substr(t, strpos(t, '.') + 1) for t in tails if t IN {exception}][1],
+          [t for t in tails if t IN {plain} OR (contains(t, '.') AND substr(t, strpos(t, '.') + 1) IN {wildcard})][1],
+          CASE WHEN contains(host, '.') THEN string_split(host, '.')[-1] END, '') END AS suffix
+    FROM (SELECT *, [array_to_string(string_split(host, '.')[i:], '.') for i in range(1, len(string_split(host, '.')) + 1)] AS tails
     FROM (SELECT *, lower(regexp_extract(netloc, '^(?:[^@]*@)?([^:]*)', 1)) AS host,
             TRY_CAST(nullif(regexp_extract(netloc, ':([0-9]{{1,5}})$', 1), '') AS INTEGER) AS port
       FROM (SELECT *, lower(regexp_extract({column}, {SCHEME}, 1)) AS scheme, regexp_extract({column}, {NETLOC}, 1) AS netloc,
               regexp_extract({column}, {PATH}, 1) AS path, regexp_extract({column}, '^[^?#]*[?]([^#]*)', 1) AS query
-            FROM {source}))))"""
+            FROM {source})))))"""
 
 
 def domain_rules(source: str) -> str:

@@ -16,8 +16,12 @@ def _urls(spark, sf_dir):
     return view(spark, sf_dir, "urls").withColumnRenamed("url", "raw_url")
 
 
+def _known(spark, sf_dir):
+    return U.suffix_rules(view(spark, sf_dir, "suffixes"))
+
+
 def _hops(spark, sf_dir):
-    return ops.prepare_hops(view(spark, sf_dir, "redirects"))
+    return ops.prepare_hops(view(spark, sf_dir, "redirects"), suffixes=_known(spark, sf_dir))
 
 
 @query("u1_extract_links", build("SELECT mail_id, CAST(pos AS INTEGER) AS pos, raw_url FROM links", "links"))
@@ -42,7 +46,7 @@ block("url_raw_p", parts("(SELECT url AS raw_url FROM urls)", "raw_url"), "urls"
 @query("u3_host_split", build(
     "SELECT raw_url, scheme, netloc, host, port, path, query, suffix, domain, subdomain, registered_domain FROM url_raw_p", "url_raw_p"))
 def u3(spark, sf_dir):
-    return U.with_parts(_urls(spark, sf_dir), "raw_url").select(
+    return U.with_parts(_urls(spark, sf_dir), "raw_url", _known(spark, sf_dir)).select(
         "raw_url", "scheme", "netloc", "host", "port", "path", "query", "suffix", "domain", "subdomain", "registered_domain")
 
 
@@ -54,14 +58,14 @@ def u4(spark, sf_dir):
 @query("u5_domain_rules", build(
     "SELECT raw_url, dom_suspicious, array_to_string(dom_reasons, ' | ') AS dom_reasons, round(dom_risk, 6) AS dom_risk FROM url_d", "url_d"))
 def u5(spark, sf_dir):
-    df = U.domain_rules(U.with_parts(U.with_normalized(_urls(spark, sf_dir), "raw_url", "url")))
+    df = U.domain_rules(U.with_parts(U.with_normalized(_urls(spark, sf_dir), "raw_url", "url"), suffixes=_known(spark, sf_dir)))
     return df.select("raw_url", "dom_suspicious", joined("dom_reasons").alias("dom_reasons"), r6("dom_risk").alias("dom_risk"))
 
 
 @query("u6_structure_rules", build(
     "SELECT raw_url, str_suspicious, array_to_string(str_reasons, ' | ') AS str_reasons, round(str_risk, 6) AS str_risk FROM url_s", "url_s"))
 def u6(spark, sf_dir):
-    df = U.structure_rules(U.with_parts(U.with_normalized(_urls(spark, sf_dir), "raw_url", "url")))
+    df = U.structure_rules(U.with_parts(U.with_normalized(_urls(spark, sf_dir), "raw_url", "url"), suffixes=_known(spark, sf_dir)))
     return df.select("raw_url", "str_suspicious", joined("str_reasons").alias("str_reasons"), r6("str_risk").alias("str_risk"))
 
 
@@ -85,12 +89,12 @@ def u8(spark, sf_dir):
     "array_to_string(reasons, ' | ') AS reasons FROM url_verdicts", "url_verdicts"))
 def u9(spark, sf_dir):
     links = _urls(spark, sf_dir).withColumns({"mail_id": F.xxhash64("raw_url"), "pos": F.lit(0)})
-    return ops.link_verdicts(links, _hops(spark, sf_dir)).select(
+    return ops.link_verdicts(links, _hops(spark, sf_dir), suffixes=_known(spark, sf_dir)).select(
         "raw_url", "url", "chain_length", "suspicious", r6("risk").alias("risk"), joined("reasons").alias("reasons"))
 
 
 def verdicts(spark, sf_dir):
-    return ops.link_verdicts(ops.mail_links(view(spark, sf_dir, "mail"), keep_empty=True), _hops(spark, sf_dir))
+    return ops.link_verdicts(ops.mail_links(view(spark, sf_dir, "mail"), keep_empty=True), _hops(spark, sf_dir), suffixes=_known(spark, sf_dir))
 
 
 @query("u10_mail_link_rollup", build(

@@ -132,7 +132,7 @@ _ELEMENTS = ("list_concat(list_concat(list_concat("
 
 def snapshots(spark, sf_dir):
     known = view(spark, sf_dir, "vectors")
-    names = ("whois", "dns_txt", "reputation", "dkim", "history", "ip_geo", "redirects", "images")
+    names = ("whois", "dns_txt", "reputation", "dkim", "history", "ip_geo", "redirects", "images", "suffixes")
     return ops.Snapshots(
         **{n: view(spark, sf_dir, n) for n in names}, as_of=F.expr(AS_OF),
         neighbours=similarity.search_similar(known, questions(spark, sf_dir)), votes=knn_votes(known))

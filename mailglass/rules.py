@@ -38,16 +38,6 @@ REDIRECT_TARGET_PATTERNS = [
 MAX_REDIRECTS = 5
 DEFAULT_PORTS = {"http": 80, "https": 443}
 
-# A short public-suffix table; callers may pass the full public list instead.
-PUBLIC_SUFFIXES = [
-    "com", "net", "org", "edu", "gov", "info", "biz", "io", "co", "tv", "me",
-    "ly", "gl", "so", "gd", "mp", "im", "cc", "eu", "uk", "de", "fr", "es",
-    "it", "nl", "ie", "us", "ca", "au", "jp", "cn", "ru", "in", "br",
-    "tk", "ga", "cf", "ml", "gq", "xyz", "top", "club", "news", "app", "dev",
-    "online", "site", "shop", "co.uk", "org.uk", "ac.uk", "gov.uk", "com.au",
-    "co.jp", "com.br", "co.in", "co.nz",
-]
-
 # --- fixed values: the light scorer -------------------------------------------
 LITE_BRANDS = ["paypal", "apple", "microsoft", "google", "amazon", "facebook", "netflix"]
 LITE_TLDS = [".tk", ".ml", ".ga", ".cf", ".gq", ".xyz"]

@@ -187,3 +187,18 @@ def test_user_component_and_settings(spark):
     rows = spark.createDataFrame([(1, "a", 0.2), (1, "b", 0.8), (1, "unknown", 1.0), (2, "a", None)], "mail_id long, component string, score double")
     weights = spark.createDataFrame([("a", 1.0), ("b", 3.0)], "component string, weight double")
     assert [(r.mail_id, round(r.confidence, 6)) for r in verdict.ensemble_long(rows, weights).collect()] == [(1, 0.65)]
+
+
+def test_suffix_table(spark):
+    table = spark.createDataFrame([("com",), ("jp",), ("*.kawasaki.jp",), ("!city.kawasaki.jp",), ("pvt.k12.ma.us",), ("it's",), (" ",), (None,)], "suffix string")
+    known = U.suffix_rules(table)
+    want = {"a.b.com": "com", "x.city.kawasaki.jp": "kawasaki.jp", "x.other.kawasaki.jp": "other.kawasaki.jp", "kawasaki.jp": "jp",
+            "s.a.pvt.k12.ma.us": "pvt.k12.ma.us", "google.cm": "cm", "shop.it's": "it's", "localhost": "", "com": "com", "": ""}
+    rows = spark.createDataFrame([(h,) for h in want], "host string").withColumn("suffix", U.suffix_of("host", known)).collect()
+    assert {r.host: r.suffix for r in rows} == want
+
+
+def test_unlisted_suffixes(spark):
+    mails = spark.createDataFrame([(1, "http://a.pl/x http://b.se/x http://c.store/x"), (2, "https://google.cm/x")], "mail_id long, raw string")
+    rows = {r.mail_id: r for r in urls.roll_up_links(urls.link_verdicts(urls.mail_links(mails))).collect()}
+    assert rows[1].unique_domains == 3 and rows[2].url_suspicious
