@@ -73,18 +73,8 @@ def render_feed(feed: DataFrame, url: str = "url") -> DataFrame:
 
 
 # --- generated texts ----------------------------------------------------------------
-# Templates and fillers of this engine; addresses use reserved names only.
-
-LURES = [
-    ("Account on hold", "Dear {user},\n\nyour account is on hold. Please confirm who you are:\n{url}\n\n{company}"),
-    ("New sign-in noticed", "Dear {user},\n\na new sign-in was noticed. If it was not you, review it here:\n{url}\n\n{company}"),
-    ("Payment details out of date", "Dear {user},\n\nyour payment details are out of date. Renew them here:\n{url}\n\n{company} Billing"),
-    ("Parcel could not be delivered", "Hello {user},\n\nparcel {number} could not be delivered. Confirm the address:\n{url}\n\n{company}"),
-    ("Refund available", "Dear {user},\n\na refund of {amount} is available. Request it here:\n{url}\n\n{company}"),
-]
-USERS = ["Customer", "User", "Member", "Valued Customer", "Client"]
-COMPANIES = ["Example Bank", "Example Pay", "Example Shop", "Example Mail", "Example Post", "Example Tax"]
-LURE_URLS = ["http://verify.bank.example/a", "https://signin.mail.example/b", "http://billing.shop.example/c", "https://track.post.example/d"]
+# Templates and fillers are tables of the caller. Each has an idx column that runs
+# from 0 without gaps; rows are drawn by a digest of the seed row's key.
 
 
 def pick_index(key: Column, part: str, n: int, seed: int = SEED) -> Column:
@@ -93,8 +83,11 @@ def pick_index(key: Column, part: str, n: int, seed: int = SEED) -> Column:
     return F.conv(F.left(digest, F.lit(7)), 16, 10).cast("long") % n
 
 
-def pick(key: Column, part: str, values: list[str], seed: int = SEED) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (pick_index(key, part, len(values), seed) + 1).cast("int"))
+def draw(df: DataFrame, table: DataFrame, part: str, columns: dict[str, str], key: str = "id", seed: int = SEED) -> DataFrame:
+    """Add ``columns`` (name in ``table``: new name) of the table row drawn for each row; nulls from an empty table."""
+    n = table.agg(F.max("idx") + 1).first()[0] or 1
+    drawn = table.select(F.col("idx").cast("long").alias("_at"), *[F.col(c).alias(new) for c, new in columns.items()])
+    return df.withColumn("_at", pick_index(F.col(key), part, n, seed)).join(drawn, "_at", "left").drop("_at")
 
 
 def fill(template: Column, fillers: dict[str, Column]) -> Column:
@@ -103,54 +96,52 @@ def fill(template: Column, fillers: dict[str, Column]) -> Column:
     return template
 
 
-def synthetic_lures(seeds: DataFrame, key: str = "id", seed: int = SEED) -> DataFrame:
-    """One labelled training text per seed row, drawn from the templates."""
+def synthetic_lures(seeds: DataFrame, templates: DataFrame, fillers: dict[str, DataFrame], key: str = "id", seed: int = SEED) -> DataFrame:
+    """One labelled training text per seed row.
+
+    ``templates`` has (idx, subject, body); a filler table (idx, value) replaces the
+    placeholder of its name. ``{number}`` and ``{amount}`` are made from digits.
+    """
     k = F.col(key)
     digits = pick_index(k, "number", 100000000, seed).cast("string")
-    subject = pick(k, "template", [t[0] for t in LURES], seed)
-    body = fill(pick(k, "template", [t[1] for t in LURES], seed), {
-        "user": pick(k, "user", USERS, seed), "company": pick(k, "company", COMPANIES, seed), "url": pick(k, "url", LURE_URLS, seed),
-        "number": F.lpad(digits, 8, "0"), "amount": F.concat(F.lit("$"), (pick_index(k, "amount", 900, seed) + 100).cast("string"), F.lit(".00"))})
-    return seeds.select(k.alias("id"), F.concat(F.lit("Subject: "), subject, F.lit("\n\n"), body).alias("text"), F.lit("phishing").alias("label"))
-
-
-# kind, sender, subject, body, link
-NEWS = [
-    ("twitch_notification", "notifications@twitch.tv", "{name} is live now", "{name} is live with {topic}.\nWatch: {link}\n\nYou follow {name}.", "https://www.twitch.tv/{slug}"),
-    ("youtube_notification", "noreply@youtube.com", "{name} uploaded: {topic}", "New video from {name}: {topic}\nWatch: {link}\n\nYou asked for these notices.", "https://www.youtube.com/watch?v={slug}"),
-    ("discord_notification", "noreply@discord.com", "New messages in {name}", "There are new messages about {topic}.\nOpen: {link}\n\nNotices are on.", "https://discord.com/channels/{slug}"),
-    ("steam_notification", "noreply@steampowered.com", "{topic} is on sale", "{topic} from your wishlist is {percent}% off.\nView: {link}\n\nSent to your account.", "https://store.steampowered.com/app/{slug}"),
-    ("spotify_notification", "no-reply@spotify.com", "New release from {name}", "{name} released {topic}.\nListen: {link}\n\nManage notices in settings.", "https://open.spotify.com/playlist/{slug}"),
-    ("newsletter", "news@shop.example.com", "{percent}% off at {name}", "Save {percent}% on {topic} this week.\nShop: {link}\n\nUnsubscribe at any time.", "https://shop.example.com/promo/{slug}"),
-]
-NAMES = ["Harbour Lights", "Night Owl", "Blue Meadow", "Paper Kite", "Old Mill", "Green Door", "River Club"]
-TOPICS = ["a puzzle game", "a cooking course", "a travel diary", "an acoustic set", "garden tools", "a chess evening", "city maps"]
-
-
-def marketing_mails(seeds: DataFrame, generated_on: str, key: str = "id", seed: int = SEED) -> DataFrame:
-    """One legitimate marketing mail per seed row: six kinds with JSON metadata."""
-    k = F.col(key)
-    values = {"name": pick(k, "name", NAMES, seed), "topic": pick(k, "topic", TOPICS, seed),
-              "percent": ((pick_index(k, "percent", 9, seed) + 1) * 5).cast("string"), "slug": F.left(F.md5(F.concat(k.cast("string"), F.lit(f":slug:{seed}"))), F.lit(12))}
-
-    def column(i: int) -> Column:
-        return pick(k, "kind", [t[i] for t in NEWS], seed)
-
-    df = seeds.select(k.alias("id"), *[v.alias(f"_{n}") for n, v in values.items()], column(0).alias("type"), column(1).alias("sender"),
-                      column(2).alias("_s"), column(3).alias("_b"), column(4).alias("_l"))
-    own = {n: F.col(f"_{n}") for n in values}
-    df = df.withColumn("_link", F.concat(fill(F.col("_l"), own), F.lit("#t="), F.left(F.sha1(F.col("id").cast("string")), F.lit(8))))
+    df = draw(seeds.select(key), templates, "template", {"subject": "_subject", "body": "_body"}, key, seed)
+    values = {"number": F.lpad(digits, 8, "0"),
+              "amount": F.concat(F.lit("$"), (pick_index(k, "amount", 900, seed) + 100).cast("string"), F.lit(".00"))}
+    for name, table in fillers.items():
+        df = draw(df, table, name, {"value": f"_{name}_"}, key, seed)
+        values[name] = F.col(f"_{name}_")
+    return df.select(k.alias("id"), F.concat(F.lit("Subject: "), F.col("_subject"), F.lit("\n\n"), fill(F.col("_body"), values)).alias("text"),
+                     F.lit("phishing").alias("label"))
+
+
+def marketing_mails(seeds: DataFrame, kinds: DataFrame, names: DataFrame, topics: DataFrame, generated_on: str, key: str = "id",
+                    seed: int = SEED) -> DataFrame:
+    """One legitimate marketing mail with JSON metadata per seed row.
+
+    ``kinds`` has (idx, type, sender, subject, body, link, discounted), with the
+    placeholders name, topic, percent, slug and, in the body, link; ``names`` and
+    ``topics`` have (idx, value). The metadata of discounted kinds names a promotion.
+    """
+    columns = {c: f"_{c}" for c in ("type", "sender", "subject", "body", "link", "discounted")}
+    df = draw(seeds.select(key), kinds, "kind", columns, key, seed)
+    df = draw(draw(df, names, "name", {"value": "_name"}, key, seed), topics, "topic", {"value": "_topic"}, key, seed)
+    df = df.withColumns({
+        "_percent": (pick_index(F.col(key), "percent", 9, seed) + 1) * 5,
+        "_slug": F.left(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":slug:{seed}"))), F.lit(12))})
+    own = {"name": F.col("_name"), "topic": F.col("_topic"), "percent": F.col("_percent").cast("string"), "slug": F.col("_slug")}
+    df = df.withColumn("_link", F.concat(fill(F.col("_link"), own), F.lit("#t="), F.left(F.sha1(F.col(key).cast("string")), F.lit(8))))
+    promotion = F.when(F.col("_discounted"), F.struct(F.col("_percent").cast("int").alias("discount")))
     return df.select(
-        "id", fill(F.col("_s"), own).alias("subject"), fill(F.col("_b"), {**own, "link": F.col("_link")}).alias("body"), "sender", "type",
-        F.lit(True).alias("is_marketing"),
+        F.col(key).alias("id"), fill(F.col("_subject"), own).alias("subject"), fill(F.col("_body"), {**own, "link": F.col("_link")}).alias("body"),
+        F.col("_sender").alias("sender"), F.col("_type").alias("type"), F.lit(True).alias("is_marketing"),
         F.to_json(F.struct(F.col("_name").alias("name"), F.col("_topic").alias("topic"), F.col("_slug").alias("tracking_id"),
-                           F.when(F.col("type").isin("steam_notification", "newsletter"), F.struct(F.col("_percent").cast("int").alias("discount"))).alias("promotion"))).alias("metadata"),
+                           promotion.alias("promotion"))).alias("metadata"),
         F.lit(generated_on).alias("generation_date"), F.lit("generated").alias("source"))
 
 
-def enlarge(corpus: DataFrame, generated_on: str, share: float = 0.2, key: str = "id", seed: int = SEED) -> DataFrame:
+def enlarge(corpus: DataFrame, kinds: DataFrame, names: DataFrame, topics: DataFrame, generated_on: str, share: float = 0.2, key: str = "id", seed: int = SEED) -> DataFrame:
     """Corpus plus ``share`` as many generated marketing mails (labelled 0),
     seeded by that share of its own rows."""
     chosen = hash_cut(corpus.select(key), key, seed, {"keep": F.floor(F.round(F.col("_total") * share, 6))}, alias="_kept")
-    new = marketing_mails(chosen, generated_on, key, seed).withColumn("is_phishing", F.lit(0))
+    new = marketing_mails(chosen, kinds, names, topics, generated_on, key, seed).withColumn("is_phishing", F.lit(0))
     return corpus.unionByName(new, allowMissingColumns=True)

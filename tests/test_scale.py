@@ -8,7 +8,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
 from mailglass.functions.join import lookup_join
-from mailglass.functions.ranking import dense_index
+from mailglass.functions.ranking import dense_index, hash_cut
 from mailglass.operators import behavior, corpus, models, monitor, similarity, urls
 from mailglass.plans.bindings import view
 
@@ -136,3 +136,17 @@ def test_rollup_keeps_mails_without_links(spark, data):
     rows = urls.roll_up_links(urls.link_verdicts(urls.mail_links(mails, keep_empty=True)))
     assert rows.count() == mails.count()
     assert rows.filter("mail_id % 2 = 0 AND (total_urls > 0 OR url_risk > 0)").count() == 0
+
+
+def test_dense_index_with_outlier(spark):
+    df = spark.range(20000).unionByName(spark.createDataFrame([(10**13,)], "id long"))
+    rows = dense_index(df, "id", "at")
+    assert rows.filter("id < 20000 AND id <> at").count() == 0 and rows.filter("at = 20000").first().id == 10**13
+    assert dense_index(df.filter("id < 0"), "id", "at").count() == 0
+
+
+def test_cut_with_many_classes(spark):
+    df = spark.range(6000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN NULL ELSE id % 1500 END AS label")
+    out = hash_cut(df, "id", 1, {"keep": F.lit(2)}, group="label", alias="part")
+    assert out.groupBy("label").count().filter("count <> 2").count() == 0
+    assert out.count() == 2 * 1001
