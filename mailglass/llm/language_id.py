@@ -159,7 +159,7 @@ def _trust(sample: DataFrame, model: Model, place: dict, s: Settings) -> None:
     right = sums[0] / np.maximum(rows, 1)[:, None]
     model.trust = np.maximum(right, 1e-3) / np.maximum(right, 1e-3).sum(1, keepdims=True)
     model.scale = np.maximum(sums[1].sum(0) / max(1.0, rows.sum()), 1e-9)
-    held.unpersist()
+    held.destroy()
 
 
 def decode(f: np.ndarray, model: Model, s: Settings) -> tuple[np.ndarray, np.ndarray]:

@@ -6,8 +6,8 @@ one to three word shapes (case, length, kind, repeats the word before). Each is
 hashed into one of ``buckets`` places, so a score is one sparse dot product.
 
 Training: shards of a bounded sample of labelled rows are passed over in
-parallel; after each pass the optimiser's sums of all shards are averaged and
-sent out again. Only these sums (two numbers a bucket) reach the driver.
+parallel; after each pass the optimiser's sums of all shards are averaged on the
+executors and sent out again. Only the averages (two numbers a bucket) reach the driver.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailglass.llm import textbytes as tb
-from mailglass.llm.shared import class_share, materialize, share_per_class, text_of, uniform
+from mailglass.llm.shared import class_share, materialize, share_per_class, text_of, tree_sum, uniform
 
 
 @dataclass(frozen=True)
@@ -112,7 +112,8 @@ def _shard_pass(sums, s: Settings):
         for k in range(0, table.num_rows, 500):
             for batch in table.slice(k, 500).combine_chunks().to_batches():
                 train_pass(_rows(batch, s), z, n, s)
-        return pa.table({"rows": pa.array([table.num_rows], pa.int64()), "z": pa.array([z.tobytes()], pa.binary()), "n": pa.array([n.tobytes()], pa.binary())})
+        sums_of = np.concatenate([z, n]) * table.num_rows
+        return pa.table({"part": table.column("shard").slice(0, 1), "weight": pa.array([table.num_rows], pa.float64()), "sums": pa.array([sums_of.tobytes()], pa.binary())})
 
     return run
 
@@ -120,7 +121,8 @@ def _shard_pass(sums, s: Settings):
 def fit(documents: DataFrame, labels: DataFrame, train: Column, s: Settings = Settings()) -> np.ndarray:
     """Weights, the bias last. ``labels`` has doc_id and label (0 or 1); ``train`` is a
     condition on doc_id. Rows with a null id or label teach nothing; a document that
-    is labelled twice counts twice. Without any label all weights are 0.
+    is labelled twice counts twice. Without any label, or any text that has one, all
+    weights are 0.
 
     Labels and ids are drawn first, so only the sample's texts are moved.
     """
@@ -135,12 +137,12 @@ def fit(documents: DataFrame, labels: DataFrame, train: Column, s: Settings = Se
         return weights_of(z, n, s)
     for _ in range(s.passes):
         sums = spark.sparkContext.broadcast((z, n))
-        # one row a shard, of two numbers a bucket
-        parts = sample.groupBy("shard").applyInArrow(_shard_pass(sums, s), "rows long, z binary, n binary").collect()
-        seen = sum(p.rows for p in parts)
-        z = sum(np.frombuffer(p.z) * (p.rows / seen) for p in parts)
-        n = sum(np.frombuffer(p.n) * (p.rows / seen) for p in parts)
-        sums.unpersist()
+        parts = sample.groupBy("shard").applyInArrow(_shard_pass(sums, s), "part long, weight double, sums binary")
+        averaged = tree_sum(parts, s.shards).collect()  # one row, of two numbers a bucket
+        sums.destroy()
+        if not averaged:
+            break
+        z, n = np.split(np.frombuffer(averaged[0].sums) / averaged[0].weight, 2)
     return weights_of(z, n, s)
 
 

@@ -93,6 +93,8 @@ def test_quality_cases(make, docs, empty):
     assert scores[1] == scores[3] and scores[4] == scores[5] == scores[6]
     none = quality.fit(empty, labels.limit(0), F.lit(True), s)
     assert not none.any() and quality.score(empty, none, s).isEmpty()
+    strangers = quality.fit(docs.filter("doc_id < 0"), labels, F.lit(True), s)  # labels of other texts only
+    assert not strangers.any() and len(strangers) == s.buckets + 1
 
 
 def test_ftrl_separates():
