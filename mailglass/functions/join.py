@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mailglass.session import materialize
+
 
 def estimated_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate of a plan, None where it is not reachable."""
@@ -17,15 +19,18 @@ def estimated_bytes(df: DataFrame) -> int | None:
         return None
 
 
+def broadcast_limit(df: DataFrame) -> int:
+    """The session's own broadcast limit in bytes, whatever unit it is written in."""
+    value = str(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")).strip().lower()
+    number = value.rstrip("bkmgtpi")
+    unit = value[len(number):].rstrip("b").rstrip("i")
+    return int(number) * 1024 ** " kmgtp".index(unit or " ")
+
+
 def fits_broadcast(df: DataFrame) -> bool:
     """True when the estimate is below the session's own broadcast limit."""
     size = estimated_bytes(df)
-    limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
-    try:
-        limit_bytes = int(str(limit).rstrip("bB"))
-    except ValueError:
-        return False
-    return size is not None and 0 <= size <= limit_bytes
+    return size is not None and 0 <= size <= broadcast_limit(df)
 
 
 def hot_keys(facts: DataFrame, on: list[str], hot_rows: int, *measures: Column) -> tuple[list[Row], float]:
@@ -37,16 +42,21 @@ def hot_keys(facts: DataFrame, on: list[str], hot_rows: int, *measures: Column)
     return counts.collect(), limit
 
 
-def lookup_join(facts: DataFrame, dim: DataFrame, on: list[str], spread_by: str, hot_rows: int = 1000000) -> DataFrame:
+def lookup_join(facts: DataFrame, dim: DataFrame, on: list[str], spread_by: str, hot_rows: int = 1000000, true_size: bool = False) -> DataFrame:
     """Left join to a table with one row per key.
 
-    A dimension below the broadcast limit is left to Spark. Otherwise the keys
-    of the facts are counted when the plan is built. Without hot keys this is a
-    plain join. With some, the dimension rows of the hot keys are repeated and
-    their facts are spread over the copies by ``spread_by``, about one copy for
-    each limit's worth of rows; all other keys are joined as they are. Facts
-    without a key match nothing and are spread freely.
+    Estimates multiply over joins, so a dimension that seems to be above the
+    broadcast limit is written once and judged by its true size; ``true_size`` says
+    that it is a plain scan, whose estimate holds. Below the limit the join is left
+    to Spark. Otherwise the keys of the facts are counted when
+    the plan is built. Without hot keys this is a plain join. With some, the
+    dimension rows of the hot keys are repeated and their facts are spread over
+    the copies by ``spread_by``, about one copy for each limit's worth of rows;
+    all other keys are joined as they are. Facts without a key match nothing and
+    are spread freely.
     """
+    if not true_size and not fits_broadcast(dim):
+        dim = materialize(dim)
     if fits_broadcast(dim):
         return facts.join(dim, on, "left")
     found, limit = hot_keys(facts, on, hot_rows)

@@ -59,7 +59,7 @@ def confidence_histogram(detections: DataFrame, as_of: Column, days: int = 7, bi
 def feedback_history(detections: DataFrame, feedback: DataFrame, rows: int = 100) -> DataFrame:
     """Latest feedback with the issue type the detection implies."""
     d = detections.select(F.col("id").alias("detection_id"), "is_phishing")
-    df = lookup_join(feedback, d, ["detection_id"], spread_by="id").filter("is_phishing IS NOT NULL").select(
+    df = lookup_join(feedback, d, ["detection_id"], spread_by="id", true_size=True).filter("is_phishing IS NOT NULL").select(
         "timestamp", "detection_id",
         F.when(F.col("is_phishing") == F.col("is_correct"), "False Negative").otherwise("False Positive").alias("issue_type"),
         F.lit("Submitted").alias("status"))

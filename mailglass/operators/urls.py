@@ -73,7 +73,7 @@ def redirect_chains(starts: DataFrame, hops: DataFrame, limit: int = rules.MAX_R
     for _ in range(limit):
         if not small:  # the lookup counts its keys, so the walk so far is written, not redone
             df = materialize(df)
-        df = _follow(lookup_join(df, step, ["cur"], spread_by="url"))
+        df = _follow(lookup_join(df, step, ["cur"], spread_by="url", true_size=True))
     too_long = F.size("chain") >= limit
     return df.select(
         "url", F.col("cur").alias("final_url"), F.size("chain").alias("chain_length"),
