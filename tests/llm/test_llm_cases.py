@@ -143,6 +143,14 @@ def test_lm_counts_and_scores(docs, empty):
     assert gru_lm.score_documents(empty, train, s).isEmpty()
 
 
+def test_lm_trains_on_every_training_text(spark, monkeypatch):
+    rows = spark.range(40).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("w"), F.col("id").cast("string"), F.lit(" and ")), 60_000).alias("text"))
+    seen = []
+    monkeypatch.setattr(gru_lm, "fit", lambda training, shards, words, s: seen.extend(r.doc_id for r in training.select("doc_id").collect()) or gru_lm.start_parameters(s))
+    gru_lm.score_documents(rows, F.col("doc_id") % 4 != 1)
+    assert sorted(seen) == [i for i in range(40) if i % 4 != 1]
+
+
 def test_lm_gradient_and_carried_state():
     s = gru_lm.Settings(words=7, classes=3, endings=2, hidden=4, lanes=1, window=50)
     p = {k: v.astype(np.float64) for k, v in gru_lm.start_parameters(s).items()}
