@@ -234,19 +234,20 @@ def record_urn(page_id) -> object:
 
 
 def records_of(pages: DataFrame, shortest: int = 100, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """One record per row of ``pages`` (page_id, url, html).
+    """One record per row of ``pages`` (page_id, url, html), also where a page_id repeats.
 
     The payload is the html in UTF-8, null taken as empty. Of the records with equal
     payloads of at least ``shortest`` bytes the one with the smallest page_id is a
-    response and the others revisit it; shorter ones are responses. Only ids and
-    digests are grouped; payloads move once, by page_id, and a revisit's is left out.
+    response and the others revisit it; shorter ones are responses. The rows of one page
+    are told apart by their digests. Only ids and digests are grouped; payloads move
+    once, by page_id and digest, and a revisit's is left out.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     own = pages.select("page_id", F.col("url").alias("target_uri"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("payload_bytes"))
     narrow = materialize(own.select("page_id", "digest", "payload_bytes"))
     first = narrow.filter(F.col("payload_bytes") >= shortest).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
-    again = narrow.filter(F.col("payload_bytes") >= shortest).join(first, "digest").filter("page_id <> first").select("page_id", "first")
-    joined = own.join(again, "page_id", "left")
+    again = narrow.filter(F.col("payload_bytes") >= shortest).join(first, "digest").filter("page_id <> first").select("page_id", "digest", "first").distinct()
+    joined = own.join(again, ["page_id", "digest"], "left")
     revisit = F.col("first").isNotNull()
     return joined.select(
         F.when(revisit, "revisit").otherwise("response").alias("record_type"), record_urn(F.col("page_id")).alias("record_id"), "target_uri", F.lit(date).alias("date"),

@@ -214,6 +214,16 @@ def test_warc_round_trip(spark, make):
     assert bytes(warc.read_warc(spark, folder).filter("record_id in ('<urn:x-page:5>')").first().payload).decode() == tricky
 
 
+def test_warc_repeated_page_ids(spark, make):
+    x, y, z = "<p>x" * 50, "<p>y" * 50, "<p>z" * 50
+    ids = [(3, x), (5, x), (5, x), (5, y), (6, z), (6, z), (7, "short"), (7, "short"), (7, x)]
+    folder = new_folder(spark, "warc")
+    warc.write_warc(warc.records_of(make([(i, "u", html, "", "", 0) for i, html in ids], PAGES)), folder)
+    sha = lambda html: hashlib.sha256(html.encode()).hexdigest()
+    got = sorted((r.page_id, r.payload_digest, r.record_type, r.refers_to or 0) for r in warc.page_index(spark, folder).collect())
+    assert got == sorted((i, sha(html), *(("revisit", 3) if html == x and i > 3 else ("response", 0))) for i, html in ids)
+
+
 def test_warc_filters_are_pushed(spark):
     from pyspark.sql.datasource import EqualTo, In
 
