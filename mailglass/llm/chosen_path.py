@@ -7,8 +7,10 @@ a node of the tree picks some coordinates by a hash of its path, each with
 probability 1 / (similarity * coordinates), and every set in it follows them to
 the child of the token that it has there. Sets of a small node, and of a node
 that keeps most of its parent's sets (they resemble each other and would not
-part), are compared with each other; ``runs`` trees bring the recall that
-``recall`` states.
+part), are compared with each other. Trees are added until a pair at the threshold
+is found with the chance ``target``: what a tree brings depends on the deepest level
+that its nodes have reached (``found``), so ``runs`` trees are grown first and as
+many more as that level asks for.
 
 A node compares sketches in memory and passes on a spanning forest of the pairs
 that may be similar, not the pairs. The sets of each connected group are then
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +36,9 @@ from mailglass.llm.shared import bloom_filtered, materialize, text_of
 
 @dataclass(frozen=True)
 class Settings:
-    """``slack``: how far below ``similarity`` a sketch may be for a pair to go on to the
-    exact comparison (three standard errors of the sketch). ``small``: sets that a node
-    compares without splitting further."""
+    """``target``: recall of a pair whose similarity is ``similarity``, sketch filter
+    included. ``runs``: trees grown first. ``small``: sets that a node compares without
+    splitting further."""
 
     similarity: float = 0.8
     words: int = 5
@@ -43,7 +46,7 @@ class Settings:
     runs: int = 12
     depth: int = 5
     small: int = 64
-    slack: float = 0.15
+    target: float = 0.999
     block: int = 1024
     groups: int = 64
     seed: int = 17
@@ -57,6 +60,43 @@ def recall(s: Settings, similarity: float, levels: int) -> float:
     return 1 - miss**s.runs
 
 
+def _agreements(s: Settings) -> list[float]:
+    """Chance that the sketches of a pair at the threshold agree in 0, 1, 2... coordinates."""
+    return [comb(s.coordinates, k) * s.similarity**k * (1 - s.similarity) ** (s.coordinates - k) for k in range(s.coordinates + 1)]
+
+
+def least_agreement(s: Settings) -> int:
+    """Equal coordinates that the sketch filter asks for: half of what ``target`` leaves may be lost to it."""
+    lost = 0.0
+    for k, chance in enumerate(_agreements(s)):
+        lost += chance
+        if lost > (1 - s.target) / 2:
+            return k
+    return s.coordinates
+
+
+def found(s: Settings, levels: int, runs: int) -> float:
+    """Chance that a pair at the threshold passes the sketch filter and meets in one of ``runs`` trees
+    in which its nodes are ``levels`` deep. All trees see one sketch, so this is a mean over what it may be."""
+    chosen, total = 1 / (s.similarity * s.coordinates), 0.0
+    for k, chance in enumerate(_agreements(s)):
+        miss = 0.0
+        for _ in range(levels):
+            miss = (1 - chosen * (1 - miss)) ** k
+        total += chance * (1 - miss**runs) * (k >= least_agreement(s))
+    return total
+
+
+def runs_for(s: Settings, levels: int) -> int:
+    """Fewest trees that bring ``target`` where nodes are ``levels`` deep."""
+    if not 0 < s.target < 1:
+        raise ValueError(f"target {s.target} is not between 0 and 1")
+    runs = 1
+    while found(s, levels, runs) < s.target:
+        runs += 1
+    return runs
+
+
 def shingles(column: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, distinct shingle hashes row after row, how many each row has).
 
@@ -135,8 +175,8 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(np.ascontiguousarray(data), np.uint32).reshape(-1, width)
 
 
-def split(nodes: DataFrame, s: Settings, root: bool) -> DataFrame:
-    """Children of each (path, rep, sketch, size); of ``root`` rows (rep, sketch) in all runs. (path, rep, sketch, size of the parent)."""
+def split(nodes: DataFrame, s: Settings, root: range | None = None) -> DataFrame:
+    """Children of each (path, rep, sketch, size); of rows (rep, sketch) in the trees ``root``. (path, rep, sketch, size of the parent)."""
     bar = np.uint64(int(2**32 / (s.similarity * s.coordinates)))
     places = np.arange(s.coordinates, dtype=np.uint64)
 
@@ -151,7 +191,7 @@ def split(nodes: DataFrame, s: Settings, root: bool) -> DataFrame:
             for k in range(0, whole.num_rows, 2000):
                 batch = whole.slice(k, 2000)
                 sketch = _matrix(batch.column("sketch"), s.coordinates)
-                paths = [np.full(len(sketch), r + 1, np.uint64) for r in range(s.runs)] if root else [batch.column("path").to_numpy().view(np.uint64)]
+                paths = [np.full(len(sketch), r + 1, np.uint64) for r in root] if root else [batch.column("path").to_numpy().view(np.uint64)]
                 for path in paths:
                     row, child = children(path, sketch)
                     take = pa.array(row)
@@ -170,8 +210,19 @@ def _with_sizes(nodes: DataFrame) -> DataFrame:
 
 
 def leaves(classes: DataFrame, s: Settings) -> DataFrame:
-    """(path, rep, sketch, size) of all nodes whose sets are to be compared."""
-    nodes = materialize(_with_sizes(split(classes.select("rep", "sketch"), s, True)))
+    """(path, rep, sketch, size) of all nodes whose sets are to be compared, of as many trees as ``target`` needs."""
+    out, grown, needed, deepest = None, 0, s.runs, 1
+    while grown < needed:
+        own, level = _trees(classes, range(grown, needed), s)
+        out = own if out is None else out.unionByName(own)
+        deepest = max(deepest, level)
+        grown, needed = needed, runs_for(s, deepest)
+    return out
+
+
+def _trees(classes: DataFrame, runs: range, s: Settings) -> tuple[DataFrame, int]:
+    """The nodes to be compared of the trees ``runs``, and the deepest level reached."""
+    nodes = materialize(_with_sizes(split(classes.select("rep", "sketch"), s, runs)))
     nodes = nodes.join(classes.select("rep", "sketch"), "rep")
     out = None
     for level in range(1, s.depth + 1):
@@ -185,8 +236,8 @@ def leaves(classes: DataFrame, s: Settings) -> DataFrame:
         wide = nodes.filter(~ended)
         if wide.isEmpty():
             break
-        nodes = _with_sizes(split(wide.select("path", "rep", "sketch", "size"), s, False))
-    return out
+        nodes = _with_sizes(split(wide.select("path", "rep", "sketch", "size"), s))
+    return out, level
 
 
 def _blocks(frame: DataFrame, key: str, size: str, s: Settings) -> DataFrame:
@@ -249,7 +300,7 @@ def forest(near: Iterator[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
 
 def _similar_sketches(sketch: np.ndarray, left: np.ndarray, right: np.ndarray, s: Settings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of places left x right whose sketches agree enough, a stretch of rows at a time."""
-    need = (s.similarity - s.slack) * s.coordinates
+    need = least_agreement(s)
     for a in range(0, len(left), 64):
         rows = left[a : a + 64]
         if len(right) <= 64:

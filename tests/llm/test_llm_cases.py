@@ -391,6 +391,25 @@ def test_recall_of_the_trees():
     assert chosen_path.recall(s, 0.8, 1) > 0.999 and chosen_path.recall(s, 0.8, 3) > 0.98
 
 
+@pytest.mark.parametrize("levels", [1, 2, 3, 4, 5])
+def test_runs_bring_the_target(levels):
+    s = chosen_path.Settings()
+    runs = chosen_path.runs_for(s, levels)
+    assert chosen_path.found(s, levels, runs) >= s.target > chosen_path.found(s, levels, runs - 1)
+
+
+def test_recall_of_deep_trees(spark):
+    """Isolated pairs at the threshold in nodes that part slowly, as where texts share passages."""
+    s, rng, pairs = chosen_path.Settings(small=8), np.random.default_rng(3), 1000
+    one = rng.integers(0, 3, (pairs, s.coordinates))
+    other = np.where(rng.random(one.shape) < s.similarity, one, 3 + np.arange(pairs)[:, None])
+    sketch = np.concatenate([one, other]).astype(np.uint32)
+    classes = spark.createDataFrame([(i, bytearray(row.tobytes())) for i, row in enumerate(sketch)], "rep long, sketch binary")
+    linked = {(r.a, r.b) for r in chosen_path.candidates(chosen_path.leaves(classes, s), s).collect()}
+    hit = sum((i + pairs, i) in linked for i in range(pairs))
+    assert hit / pairs >= 0.995
+
+
 def test_vectors_by_brute_force(make):
     rng = np.random.default_rng(2)
     rows = []
