@@ -181,3 +181,12 @@ def test_pair_state_is_carried_over_triggers(spark, tmp_path):
         seen[i] = hours.get((pair, when.hour), 0)
         hours[pair, when.hour] = seen[i] + 1
     assert {r.id: r.hour_seen for r in out.collect()} == seen
+
+
+def test_forest_grows_deep_trees(spark):
+    from mailglass.operators import models
+
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(f"word{k}" for k in np.flatnonzero(rng.random(12) < 0.5)), int(rng.integers(2))) for i in range(300)]
+    model = models.fit_forest(spark.createDataFrame(rows, "id long, body string, y int"), trees=3)
+    assert max(tree.depth for tree in model.stages[-1].trees) > 5
