@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailglass.llm import chosen_path, gru_lm, hnsw, imatch, language_id, mixing, packing, quality, token_counts, warc
+from mailglass.llm import chosen_path, filter_audit, gru_lm, hnsw, imatch, language_id, mixing, packing, quality, token_counts, warc
 from mailglass.llm.shared import fold, new_folder
 
 QUERIES: dict = {}
@@ -185,3 +185,36 @@ FROM v LEFT JOIN m ON m.node = v.vec_id LEFT JOIN k ON k.a = v.vec_id
 @query("op10_hnsw", OP10)
 def op10_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+#: Letter to failure condition, as the contract names them.
+FILTERS = {
+    "A": lambda text: filter_audit.too_short(text, 100),
+    "B": lambda text: filter_audit.repetitive(text, 80),
+    "C": lambda text: filter_audit.shouting(text, 10),
+    "D": lambda text: filter_audit.holds_any(text, "#$%&*|"),
+    "E": filter_audit.REPEATED,
+}
+
+OP13 = """
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM documents),
+l AS (SELECT doc_id, max((coalesce(quality, 0) = 1)::INT) AS good, max((coalesce(toxic, 0) = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    (len(w) < 100)::INT + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t))::INT
+    + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), false)::INT AS mask FROM d LEFT JOIN l ON l.doc_id = d.doc_id),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter, unnest([1, 2, 4, 8, 16]) AS bit),
+o AS (SELECT '' AS p UNION ALL SELECT p || letter FROM o JOIN x ON NOT contains(p, letter)),
+s AS (SELECT p AS filter_order, step, letter, bit, coalesce((SELECT sum(y.bit) FROM x y WHERE contains(left(p, step - 1), y.letter)), 0) AS done
+    FROM (SELECT p, unnest(range(1, 6)) AS step FROM o WHERE length(p) = 5) JOIN x ON letter = substr(p, step, 1)),
+m AS (SELECT part, filter_order, CAST(step AS INTEGER) AS step, letter,
+    count(*) FILTER (mask & done::INT = 0 AND mask & bit = 0) AS kept, count(*) FILTER (mask & done::INT = 0 AND mask & bit <> 0) AS removed,
+    count(*) FILTER (mask & done::INT <> 0 AND mask & bit <> 0) AS redundant, count(*) FILTER (mask = bit) AS unique_fails,
+    count(*) FILTER (mask & done::INT = 0 AND mask & bit <> 0 AND good = 1) AS good_lost, count(*) FILTER (mask & done::INT = 0 AND mask & bit <> 0 AND toxic = 1) AS toxic_lost
+    FROM f, s GROUP BY ALL)
+SELECT *, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM m
+"""
+
+
+@query("op13_filter_audit", OP13)
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), FILTERS)
