@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailglass.llm import chosen_path, filter_audit, gru_lm, hnsw, imatch, language_id, mixing, packing, quality, token_counts, warc
+from mailglass.llm import chosen_path, conversation_repair, filter_audit, gru_lm, hnsw, imatch, language_id, mixing, packing, quality, token_counts, warc
 from mailglass.llm.shared import fold, new_folder
 
 QUERIES: dict = {}
@@ -187,6 +187,81 @@ def op10_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Rows dropped, emptied, cut, repeated or given to the user, by the CRC of their key."""
+    key = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")))
+    text = F.coalesce("text", F.lit(" "))
+    kind = F.col("kind")
+    return conversations.withColumn("kind", F.crc32(key.cast("binary")) % 20).filter(kind != 0).select(
+        "conv_id", "turn", F.when(kind == 4, "user").otherwise(F.coalesce("role", F.lit(" "))).alias("role"),
+        F.when(kind == 1, "").when(kind == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.explode(F.array_repeat(F.lit(0), F.when(kind == 3, 2).otherwise(1))).alias("copy")).drop("copy")
+
+
+def _plus(cell: str, cost: str, edit: str) -> str:
+    return f"lpad(CAST(CAST(left({cell}, 9) AS BIGINT) + {cost} AS VARCHAR), 9, '0') || substr({cell}, 10) || {edit}"
+
+
+def _op12_sql() -> str:
+    """Row by row: the cheapest (cost, audit) up to each state, costs as nine digits before the letters."""
+    def kept(cell, role):
+        return f"CASE WHEN i = '{role}' THEN {_plus(cell, 'e', chr(39) + 'K' + chr(39))} END"
+
+    def given(cell):
+        return f"CASE WHEN NOT gone THEN {_plus(cell, '2 + e', chr(39) + 'R' + chr(39))} END"
+
+    def lost(cell):
+        return _plus(cell, "3", "'D'")
+
+    into = {"c0": lost("c0"), "c1": f"least({lost('c1')}, {kept('c0', 's')})",
+            "c2": f"least({lost('c2')}, " + ", ".join(f"{kept(c, 'u')}, {given(c)}" for c in ("c0", "c1", "c3")) + ")",
+            "c3": f"least({lost('c3')}, {kept('c2', 'a')}, {given('c2')})"}
+    one, two = (lambda c: _plus(c, "2", "'I'")), (lambda c: _plus(c, "4", "'II'"))
+    close = f"c0, c1, least(c2, {one('c0')}, {one('c1')}, {one('c3')}) AS c2, least(c3, {one('c2')}, {two('c0')}, {two('c1')}) AS c3"
+    return f"""
+WITH RECURSIVE crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT)) AS b FROM conversations),
+kinds AS (SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 20 AS kind FROM keyed, crc),
+damaged AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM (SELECT *, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) FROM kinds)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS n, CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'o' END AS i,
+    right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last FROM damaged),
+faulty AS MATERIALIZED (SELECT *, CASE WHEN last = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+    lag(i) OVER (PARTITION BY conv_id ORDER BY n) || i AS pair FROM numbered),
+plain AS MATERIALIZED (SELECT conv_id, n, CASE WHEN fault IN ('blank', 'duplicate') THEN 'x' ELSE i END AS i, coalesce(fault IN ('blank', 'duplicate'), false) AS gone, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS e FROM faulty),
+cells AS (SELECT conv_id, 0 AS n, '000000000' AS c0, CAST(NULL AS VARCHAR) AS c1, '000000002I' AS c2, '000000004II' AS c3 FROM (SELECT DISTINCT conv_id FROM plain)
+    UNION ALL SELECT conv_id, n, {close} FROM (SELECT p.conv_id, p.n, {', '.join(f'{x} AS {c}' for c, x in into.items())} FROM cells JOIN plain p ON p.conv_id IS NOT DISTINCT FROM cells.conv_id AND p.n = cells.n + 1)),
+best AS (SELECT conv_id, CAST(left(c, 9) AS BIGINT) AS cost, substr(c, 10) AS audit FROM (SELECT conv_id, least(c0, c3) AS c FROM cells QUALIFY n = max(n) OVER (PARTITION BY conv_id))),
+letters AS (SELECT conv_id, item, substr(audit, item, 1) AS edit, length(replace(substr(audit, 1, item), 'I', '')) AS n, length(replace(substr(audit, item + 1), 'D', '')) % 2 AS early
+    FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS item FROM best)),
+lines AS (SELECT l.conv_id, sha256(string_agg(CASE edit WHEN 'K' THEN f.role ELSE CASE early WHEN 1 THEN 'user' ELSE 'assistant' END END || ':' || CASE edit WHEN 'I' THEN '' ELSE f.text END, chr(10) ORDER BY item)) AS sha
+    FROM letters l LEFT JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM l.conv_id AND f.n = l.n WHERE edit <> 'D' GROUP BY l.conv_id),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM faulty GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+    coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN lines l ON l.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
+@query("op12_conversation_repair", _op12_sql())
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired(table(spark, sf_dir, "conversations"))
+
+
+def repaired(conversations: DataFrame) -> DataFrame:
+    found, edits = conversation_repair.repair(damaged(conversations))
+    shas = conversation_repair.digests(edits)
+    original = conversations.select("conv_id").distinct()
+    out = original.join(found, original["conv_id"].eqNullSafe(found["conv_id"]), "left").drop(found["conv_id"])
+    out = out.join(shas, out["conv_id"].eqNullSafe(shas["conv_id"]), "left").drop(shas["conv_id"])
+    numbers = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return out.select("conv_id", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in numbers), F.coalesce("audit", F.lit("")).alias("audit"),
+                      F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 #: Letter to failure condition, as the contract names them.
 FILTERS = {
     "A": lambda text: filter_audit.too_short(text, 100),
