@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailglass.llm import chosen_path, conversation_repair, filter_audit, gru_lm, hnsw, imatch, language_id, mixing, packing, quality, token_counts, warc
+from mailglass.llm import bpe, chosen_path, conversation_repair, filter_audit, gru_lm, hnsw, imatch, language_id, mixing, packing, quality, token_counts, warc
 from mailglass.llm.shared import fold, new_folder
 
 QUERIES: dict = {}
@@ -187,6 +187,15 @@ def op10_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+@query("op11_bpe")
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = bpe.Vocabulary(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    both = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), vocabulary, ["doc_id"]), vocabulary)
+    return both.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("token_ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def damaged(conversations: DataFrame) -> DataFrame:
     """Rows dropped, emptied, cut, repeated or given to the user, by the CRC of their key."""
     key = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")))
