@@ -38,7 +38,7 @@ MOST_BYTES = 64 << 20
 BLOCK_PIECES = 1 << 17
 BLOCK_IDS = 1 << 18
 #: Rows that one recursion may copy, and words remembered.
-ROW_COPIES = 1 << 22
+ROW_COPIES = 1 << 21
 REMEMBERED = 1 << 19
 
 #: One step: rows and their neighbours, the merge table, each word's least (rank, place), then that pair made one row.
@@ -101,7 +101,7 @@ class Engine:
         self._table("pairs", pa.table(dict(zip(("a", "b", "made"), map(lambda c: pa.array(c, pa.int32()), zip(*pairs) if pairs else ((), (), ()))))))
         self.con.execute("""CREATE TABLE merges AS SELECT a, b, made, made < ALL (SELECT least FROM uses u WHERE u.id = p.made) AS together FROM pairs p
             """.replace("uses", "(SELECT id, min(made) AS least FROM (SELECT a AS id, made FROM pairs UNION ALL SELECT b, made FROM pairs) GROUP BY id)"))
-        self.con.execute("CREATE TABLE known (word BLOB, ids INTEGER[])")
+        self.con.execute("CREATE TABLE known AS SELECT token AS word, [id] AS ids, true AS is_token FROM tokens")
 
     def _table(self, name: str, rows: pa.Table) -> None:
         self.con.register("incoming", rows)
@@ -114,13 +114,13 @@ class Engine:
     def pieces(self, words: pa.Array) -> pa.Array:
         """Ids of each of the distinct ``words`` (binary)."""
         self._table("asked", pa.table({"n": np.arange(len(words)), "word": words}))
-        self.con.execute("CREATE OR REPLACE TABLE found AS SELECT n, asked.word, coalesce(CASE WHEN t.id IS NOT NULL THEN [t.id] END, k.ids) AS ids FROM asked LEFT JOIN tokens t ON t.token = asked.word LEFT JOIN known k ON k.word = asked.word")
+        self.con.execute("CREATE OR REPLACE TABLE found AS SELECT n, word, ids FROM asked LEFT JOIN known USING (word)")
         new = self._read("SELECT n, word FROM found WHERE ids IS NULL ORDER BY n")
         if len(new):
             self._table("fresh", self._contract(new))
             if self.con.execute("SELECT count(*) FROM known").fetchone()[0] > REMEMBERED:
-                self.con.execute("DELETE FROM known")
-            self.con.execute("INSERT INTO known SELECT found.word, fresh.ids FROM fresh JOIN found USING (n)")
+                self.con.execute("CREATE OR REPLACE TABLE known AS SELECT * FROM known WHERE is_token")
+            self.con.execute("INSERT INTO known SELECT found.word, fresh.ids, false FROM fresh JOIN found USING (n)")
             self.con.execute("CREATE OR REPLACE TABLE found AS SELECT n, coalesce(found.ids, fresh.ids) AS ids FROM found LEFT JOIN fresh USING (n)")
         return self._read("SELECT ids FROM found ORDER BY n").column("ids").combine_chunks()
 
@@ -151,16 +151,18 @@ class Engine:
     def encode(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
         """(row, ids) of the texts, long ones in several parts, in order."""
         rows: list[int] = []
+        counts: list[int] = []
         found: list[str] = []
         for row, text in enumerate(texts):
             for pieces in self._cut(text.as_py() or ""):
-                rows += [row] * len(pieces)
+                rows.append(row)
+                counts.append(len(pieces))
                 found += pieces
                 if len(found) >= BLOCK_PIECES:
-                    yield from self._block(rows, found)
-                    rows, found = [], []
+                    yield from self._block(rows, counts, found)
+                    rows, counts, found = [], [], []
         if found:
-            yield from self._block(rows, found)
+            yield from self._block(rows, counts, found)
 
     def _cut(self, text: str) -> Iterator[list[str]]:
         if len(text) <= BLOCK_PIECES:
@@ -170,16 +172,12 @@ class Engine:
         while pieces := [m.group() for m in islice(matches, BLOCK_PIECES)]:
             yield pieces
 
-    def _block(self, rows: list[int], found: list[str]) -> Iterator[tuple[int, np.ndarray]]:
+    def _block(self, rows: list[int], counts: list[int], found: list[str]) -> Iterator[tuple[int, np.ndarray]]:
         column = pa.array(found, pa.string()).dictionary_encode()
         ids = self.pieces(column.dictionary.cast(pa.binary())).take(column.indices)
-        flat = ids.flatten().to_numpy()
-        length = np.asarray(ids.value_lengths()).astype(np.int64)
-        rows = np.array(rows)
-        starts = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-        ends = np.cumsum(length)[np.append(starts[1:], len(rows)) - 1]
-        for row, part in zip(rows[starts].tolist(), np.split(flat, ends[:-1])):
-            yield row, part
+        length = np.append(0, np.cumsum(np.asarray(ids.value_lengths()), dtype=np.int64))
+        ends = length[np.cumsum(counts)]
+        yield from zip(rows, np.split(ids.flatten().to_numpy(), ends[:-1]))
 
     def decode(self, ids: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, bytes]]:
         """(row, bytes): the tokens' bytes of each row, aggregated in order."""
