@@ -229,7 +229,8 @@ def apply_edits(rows: DataFrame, parsed: DataFrame) -> DataFrame:
     ``role`` is the one after the edit; an inserted row has no turn and an empty text.
     """
     kind = dict(rows.dtypes)["conv_id"]
-    edits = parsed.select("conv_id", "begin", "audit").mapInArrow(_edits, f"conv_id {kind}, item long, edit string, new_role string, at long")
+    # written, as many rows come of one and two joins' sides of them
+    edits = materialize(parsed.select("conv_id", "begin", "audit").mapInArrow(_edits, f"conv_id {kind}, item long, edit string, new_role string, at long"))
     own = rows.select("at", "turn", "role", "text")
     done = edits.filter(F.col("at").isNotNull()).join(own, "at").select("conv_id", "item", "edit", "turn", F.coalesce("new_role", "role").alias("role"), "text")
     new = edits.filter(F.col("at").isNull()).select("conv_id", "item", "edit", F.lit(None).cast("long").alias("turn"), F.col("new_role").alias("role"), F.lit("").alias("text"))
