@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailglass import rules
 from mailglass.functions import url as U
+from mailglass.functions.bank import PatternBank, needed
 from mailglass.functions.text import compact, count_true, flag
 
 WORD_START, WORD_END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
@@ -38,18 +37,16 @@ def lexicon_score(mail: DataFrame, text: str = "raw") -> DataFrame:
     }).drop("_low")
 
 
-def needed_literal(pattern: str) -> str:
-    """Longest plain text that every match of a rule pattern contains."""
-    bare = re.sub(r"\(\?:[^)]*\)\??|\\b|\.\*", "\0", pattern)
-    return max(bare.split("\0"), key=len)
-
-
 def matches(low: Column, pattern: str) -> Column:
-    """Whether a lower-case text matches a rule pattern. The plain part is
-    looked for first: a byte search settles almost every text."""
-    literal = needed_literal(pattern)
-    found = F.contains(low, F.lit(literal))
-    return found if literal == pattern else found & low.rlike(pattern)
+    """Whether a lower-case text matches a rule pattern. The plain texts that every
+    match has one of are looked for first: a byte search settles almost every text."""
+    texts = needed(pattern)
+    if texts == [pattern]:
+        return F.contains(low, F.lit(pattern))
+    found = F.lit(not texts)
+    for text in texts:
+        found = found | F.contains(low, F.lit(text))
+    return found & low.rlike(pattern)
 
 
 def is_high_risk(label: str) -> bool:
@@ -67,36 +64,42 @@ def suspicious_url_hits(text: Column) -> Column:
     return F.concat(*found)
 
 
-def indicators(mail: DataFrame, text: str = "raw") -> DataFrame:
+def indicator_bank(table: DataFrame | None = None) -> PatternBank:
+    """The built-in rules, or those of a table (ord, family, label, pattern)."""
+    if table is not None:
+        return PatternBank.of(table)
+    return PatternBank(tuple((family, label, p) for family, (label, patterns) in rules.INDICATORS.items() for p in patterns))
+
+
+def indicators(mail: DataFrame, text: str = "raw", bank: PatternBank | None = None) -> DataFrame:
     """Indicator list of each mail with counts by family.
 
-    The bank is fixed, so each pattern is a literal match in one projection;
-    there is no rule join and no row is multiplied.
+    Rules are rows of a bank (:func:`indicator_bank`). A text is read once for the plain
+    texts that the rules need, and only rules whose text is there are tried on it. The
+    links' patterns come after the family ``request``, or last without one.
     """
+    bank = bank or indicator_bank()
     df = mail.withColumns({
         "_low": F.lower(F.col(text)),
-        "_urls": suspicious_url_hits(F.col(text)),
+        "_urls": F.when(F.contains(F.lower(F.col(text)), F.lit("http")), suspicious_url_hits(F.col(text))).otherwise(F.array().cast("array<string>")),
         "capital_words": F.regexp_count(text, F.lit("(?=[A-Z]{2})" + WORD_START + "[A-Z]{2,}" + WORD_END)),
         "exclamations": F.length(text) - F.length(F.replace(text, F.lit("!")))})
-    lists, counts, high = {}, {}, F.lit(0)
-    for family, (label, patterns) in rules.INDICATORS.items():
-        lists[f"_{family}"] = compact(flag(matches(F.col("_low"), p), f"{label}: '{p}'") for p in patterns)
-    df = df.withColumns(lists)
-    for family, (label, patterns) in rules.INDICATORS.items():
-        items = F.col(f"_{family}")
-        counts[f"n_{family}"] = F.size(items)
-        severe = [f"{label}: '{p}'" for p in patterns if is_high_risk(f"{label}: '{p}'")]
-        if len(severe) == len(patterns):
-            high = high + F.size(items)
-        elif severe:
-            high = high + F.size(F.array_intersect(items, F.array(*[F.lit(s) for s in severe])))
+    df = df.withColumn("_try", bank.worth_trying(F.col("_low")))
+    df = df.withColumn("_hits", bank.matched(F.col("_low"), F.col("_try")))
+    families = bank.families()
+    df = df.withColumns({f"_{f}": bank.texts(bank.of_family(F.col("_hits"), f)) for f in families})
+    severe = [is_high_risk(f"{label}: '{p}'") for _, label, p in bank.rules]
+    is_severe = F.array(*map(F.lit, severe))
+    high = F.size(F.filter("_hits", lambda i: is_severe[i]))
     extra = compact([
         flag(F.col("capital_words") > 3, F.concat(F.lit("Excessive capitalization: "), F.col("capital_words").cast("string"), F.lit(" instances"))),
         flag(F.col("exclamations") > 3, F.concat(F.lit("Excessive exclamation marks: "), F.col("exclamations").cast("string"), F.lit(" instances")))])
     links = F.transform("_urls", lambda u: F.concat(F.lit("Suspicious URL: '"), u, F.lit("'")))
-    ordered = F.concat(F.col("_phishing"), F.col("_urgency"), F.col("_request"), links, F.col("_phrasing"), F.col("_threat"), extra)
+    at = families.index("request") + 1 if "request" in families else len(families)
+    ordered = F.concat(*[F.col(f"_{f}") for f in families[:at]], links, *[F.col(f"_{f}") for f in families[at:]], extra)
+    counts = {f"n_{f}": F.size(f"_{f}") for f in families}
     df = df.withColumns({**counts, "n_url": F.size("_urls"), "high_risk": high + F.size("_urls"), "indicators": ordered})
-    return df.withColumn("n_indicators", F.size("indicators")).drop("_low", "_urls", *lists)
+    return df.withColumn("n_indicators", F.size("indicators")).drop("_low", "_urls", "_try", "_hits", *[f"_{f}" for f in families])
 
 
 def blended_probability(knn: Column, n: Column, high: Column) -> Column:

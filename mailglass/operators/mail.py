@@ -6,57 +6,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailglass import rules
+from mailglass.functions.headers import header_block, header_line, header_value, headers_of, unfold, unix_lines
 from mailglass.functions.text import first_match
 
 
-def unix_lines(raw: Column) -> Column:
-    return F.replace(raw, F.lit("\r\n"), F.lit("\n"))
-
-
-def headers_of(raw: Column) -> Column:
-    return F.substring_index(unix_lines(raw), "\n\n", 1)
-
-
-def unfold(headers: Column) -> Column:
-    """Header lines that go on in an indented line, as one line each."""
-    return F.regexp_replace(headers, "\n[ \t]+", " ")
-
-
 def body_of(raw: Column) -> Column:
     raw = unix_lines(raw)
     cut = F.instr(raw, "\n\n")
     return F.when(cut > 0, F.substring(raw, cut + F.lit(2), F.length(raw))).otherwise(raw)
 
 
-def header_line(headers: Column, name: str) -> Column:
-    """Value of a header anchored at the line start, null when absent."""
-    return F.nullif(F.trim(F.regexp_extract(headers, rf"(?im)^{name}:[ \t]*(.*)$", 1)), F.lit(""))
-
-
 def extract_headers(mail: DataFrame) -> DataFrame:
-    """From, To, Subject and Date of each mail; null when a header is absent."""
+    """From, To, Subject and Date of each mail, unfolded and decoded; null when a header is absent."""
     headers = headers_of(F.col("raw"))
     return mail.withColumns({
-        "header_from": first_match(headers, r"(?im)^From:[ \t]*(?:[^<\n]*<)?([^>\n]+)>?"),
-        "header_to": header_line(headers, "To"),
-        "header_subject": header_line(headers, "Subject"),
+        "header_from": first_match(header_value(headers, "From"), r"^(?:[^<]*<)?([^>]+)>?"),
+        "header_to": header_value(headers, "To"),
+        "header_subject": header_value(headers, "Subject"),
         "header_date": header_line(headers, "Date"),
     })
 
 
 def first_header_line(mail: DataFrame, prefix: str, alias: str) -> DataFrame:
     """First line that starts with ``prefix``, without the prefix (no regex)."""
-    hits = F.filter(F.split(F.col("raw"), "\n"), lambda line: F.startswith(line, F.lit(prefix)))
+    hits = F.filter(F.split(unix_lines(F.col("raw")), "\n"), lambda line: F.startswith(line, F.lit(prefix)))
     first = F.try_element_at(hits, F.lit(1))
     return mail.withColumn(alias, F.trim(F.substring(first, F.lit(len(prefix) + 1), F.length(first))))
 
 
 def split_parts(mail: DataFrame) -> DataFrame:
     """Headers, subject and body, split on the first blank line."""
-    headers = headers_of(F.col("raw"))
+    headers = header_block(F.col("raw"))
     return mail.withColumns({
         "headers": headers,
-        "part_subject": F.coalesce(header_line(headers, "Subject"), F.lit("")),
+        "part_subject": F.coalesce(header_value(unfold(headers), "Subject"), F.lit("")),
         "part_body": F.trim(body_of(F.col("raw"))),
     })
 
@@ -114,7 +97,7 @@ def header_metadata(mail: DataFrame, compat: bool = False) -> DataFrame:
         "received_ips": hops,
         "return_path": first_match(F.col("_h"), r"(?m)^Return-Path:\s*<([^>]+)>"),
         "reply_to": first_match(F.col("_h"), r"(?m)^Reply-To:\s*<?([^>\s]+)>?"),
-        "x_mailer": header_line(F.col("_h"), "X-Mailer"),
+        "x_mailer": header_value(F.col("_h"), "X-Mailer"),
     })
     return df.withColumns({
         "local_date": F.date_format("_local", "yyyy-MM-dd"),

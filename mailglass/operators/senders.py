@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailglass import rules
+from mailglass.functions.edits import nearest_names
+from mailglass.functions.headers import header_line, header_value, headers_of
 from mailglass.functions.join import lookup_join
 from mailglass.functions.text import compact, first_match, flag, weighted_mean
-from mailglass.operators.mail import header_line, headers_of, unfold
 
 ADDRESS = r"^([a-zA-Z0-9._%+-]+)@([a-zA-Z0-9.-]+\.[a-zA-Z]{2,})$"
 IPV4 = r"^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])$"
@@ -131,16 +132,24 @@ def reputation(domains: DataFrame, table: DataFrame) -> DataFrame:
     }).drop("_row")
 
 
-def look_alike(domains: DataFrame) -> DataFrame:
+def look_alike(domains: DataFrame, trusted: DataFrame | None = None) -> DataFrame:
     """Nearest trusted domain by edit distance; ties go to list order.
 
-    The trusted list is fixed and short, so the comparison is an expression on
-    each distinct domain and needs no join.
+    The built-in list is fixed and short, so the comparison is an expression on each
+    distinct domain and needs no join, and the distance is known however far it is.
+    A table ``trusted`` (domain, ord) of any length is matched through
+    :func:`nearest_names`: what is more than two edits away has no ``edit_distance``
+    and a ``similarity`` of 0. Trusted domains themselves are skipped.
     """
-    trusted = F.col("domain").isin(rules.SENDER_TRUSTED)
-    nearest = F.least(*[F.struct(F.levenshtein("domain", F.lit(t)).alias("distance"), F.lit(i).alias("ord"),
-                                 F.lit(t).alias("name")) for i, t in enumerate(rules.SENDER_TRUSTED)])
-    df = domains.withColumn("_near", F.when(~trusted, nearest))
+    if trusted is None:
+        known = F.col("domain").isin(rules.SENDER_TRUSTED)
+        nearest = F.least(*[F.struct(F.levenshtein("domain", F.lit(t)).alias("distance"), F.lit(i).alias("ord"),
+                                     F.lit(t).alias("name")) for i, t in enumerate(rules.SENDER_TRUSTED)])
+        df = domains.withColumn("_near", F.when(~known, nearest))
+    else:
+        found = nearest_names(domains.select("domain").distinct(), trusted.select(F.col("domain").alias("name"), "ord"), "domain")
+        found = found.filter(F.col("distance") > 0).select("domain", F.struct("distance", "ord", "name").alias("_near"))
+        df = domains.join(found, "domain", "left")
     distance, name = F.col("_near.distance"), F.col("_near.name")
     close = F.coalesce(distance <= 2, F.lit(False))
     return df.withColumns({
@@ -153,18 +162,18 @@ def look_alike(domains: DataFrame) -> DataFrame:
 
 
 def domain_profile(domains: DataFrame, whois: DataFrame, dns_txt: DataFrame, reputation_table: DataFrame,
-                   as_of: Column, compat: bool = False) -> DataFrame:
+                   as_of: Column, compat: bool = False, trusted: DataFrame | None = None) -> DataFrame:
     """All domain-level checks for a frame of distinct domains."""
     df = domain_age(domains, whois, as_of)
     df = spf(df, dns_txt, compat)
     df = dmarc(df, dns_txt)
     df = reputation(df, reputation_table)
-    return look_alike(df)
+    return look_alike(df, trusted)
 
 
 def dkim(mail: DataFrame, results: DataFrame) -> DataFrame:
     """Signature facts of each mail joined to the recorded check outcome."""
-    signature = header_line(unfold(headers_of(F.col("raw"))), "DKIM-Signature")
+    signature = header_line(headers_of(F.col("raw")), "DKIM-Signature")
     df = mail.withColumn("_sig", signature).join(results.select("mail_id", "verified", "error"), "mail_id", "left")
     valid = F.col("_sig").isNotNull() & F.coalesce("verified", F.lit(False)) & ~F.coalesce("error", F.lit(False))
     return df.withColumns({
@@ -181,9 +190,9 @@ def alignment(mail: DataFrame, sender: str = "sender") -> DataFrame:
     """Header domains that differ from the sender's domain."""
     headers = headers_of(F.col("raw"))
     own = address_domain(F.col(sender))
-    from_domain = first_match(header_line(headers, "From"), r"@([^>\s]+)")
+    from_domain = first_match(header_value(headers, "From"), r"@([^>\s]+)")
     return_domain = address_domain(first_match(header_line(headers, "Return-Path"), "<([^>]+)>"))
-    reply_domain = address_domain(first_match(header_line(headers, "Reply-To"), r"([^<\s]+@[^>\s]+)"))
+    reply_domain = address_domain(first_match(header_value(headers, "Reply-To"), r"([^<\s]+@[^>\s]+)"))
     df = mail.withColumn("misaligned_headers", F.when(own.isNotNull(), compact(
         flag(other != own, F.concat(F.lit(f"{name}: "), other))
         for name, other in (("From", from_domain), ("Return-Path", return_domain), ("Reply-To", reply_domain))))
@@ -192,11 +201,11 @@ def alignment(mail: DataFrame, sender: str = "sender") -> DataFrame:
 
 
 def score_senders(mail: DataFrame, whois: DataFrame, dns_txt: DataFrame, reputation_table: DataFrame,
-                  dkim_results: DataFrame, as_of: Column, compat: bool = False) -> DataFrame:
+                  dkim_results: DataFrame, as_of: Column, compat: bool = False, trusted: DataFrame | None = None) -> DataFrame:
     """Weighted sender risk of each mail with its component risks."""
     df = mail.withColumns({"sender_user": address_user(F.col("sender")), "sender_domain": address_domain(F.col("sender"))})
     domains = df.select(F.col("sender_domain").alias("domain")).filter("domain IS NOT NULL").distinct()
-    profile = domain_profile(domains, whois, dns_txt, reputation_table, as_of, compat).select(
+    profile = domain_profile(domains, whois, dns_txt, reputation_table, as_of, compat, trusted).select(
         F.col("domain").alias("sender_domain"), "age_risk", "reputation_risk", "typo_risk", "spf_risk", "dmarc_risk",
         "is_new_domain", "similar_to", "domain_age_days")
     df = alignment(dkim(df, dkim_results))

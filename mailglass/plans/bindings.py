@@ -25,8 +25,11 @@ _DOMAIN = """CASE {k} % 8
     WHEN 4 THEN 'arnazon.com' WHEN 5 THEN 'legittech.news'
     WHEN 6 THEN 'a.b.c.d.example.co.uk' ELSE 'microsoft.com' END"""
 
+# some header lines are folded, some values are encoded words, and the lines of some mails end in CRLF
 MAIL = f"""
 SELECT mail_id, sender, domain, recipient, sent_at, subject, phrase, url, is_phishing,
+  CASE WHEN mail_id % 13 = 5 THEN replace(written, chr(10), concat(chr(13), chr(10))) ELSE written END AS raw
+FROM (SELECT mail_id, sender, domain, recipient, sent_at, subject, phrase, url, is_phishing,
   concat(
     'Received: from mx.example.com [203.0.113.9] by inbox.example.com', chr(10),
     repeat(concat('Received: from hop.example.org by relay.example.org', chr(10)),
@@ -37,15 +40,17 @@ SELECT mail_id, sender, domain, recipient, sent_at, subject, phrase, url, is_phi
       WHEN 0 THEN concat('Return-Path: <bounce@', domain, '>', chr(10))
       WHEN 1 THEN concat('Return-Path: <bounce@mailer.example.org>', chr(10))
       WHEN 2 THEN concat('Reply-To: <', sender, '>', chr(10))
-      WHEN 3 THEN concat('Reply-To: help@other.example.com', chr(10))
+      WHEN 3 THEN concat('Reply-To:', CASE WHEN mail_id % 4 = 3 THEN concat(chr(10), chr(9)) ELSE ' ' END, 'help@other.example.com', chr(10))
       WHEN 4 THEN concat('Return-Path: <', sender, '>', chr(10), 'Reply-To: ', sender, chr(10))
       ELSE '' END,
     CASE WHEN mail_id % 5 < 2 THEN
       concat('DKIM-Signature: v=1; a=rsa-sha256; d=', domain, '; s=sel', CAST(mail_id % 3 AS STRING), '; bh=abc', chr(10))
       ELSE '' END,
-    'From: ', CASE WHEN mail_id % 3 = 0 THEN concat('"User" <', sender, '>') ELSE sender END, chr(10),
-    CASE WHEN mail_id % 10 = 9 THEN '' ELSE concat('To: ', recipient, chr(10)) END,
-    'Subject: ', subject, chr(10),
+    'From: ', CASE WHEN mail_id % 15 = 6 THEN concat('=?windows-1252?Q?Gr=FC=DFe_=80=99s?=', chr(10), ' <', sender, '>')
+      WHEN mail_id % 3 = 0 THEN concat('"User" <', sender, '>') ELSE sender END, chr(10),
+    CASE WHEN mail_id % 10 = 9 THEN '' WHEN mail_id % 8 = 2 THEN concat('To:', chr(10), chr(9), recipient, chr(10))
+      WHEN mail_id % 8 = 5 THEN concat('To: =?iso-8859-1?q?Jos=E9_P=E9rez?=', chr(10), '  <', recipient, '>', chr(10)) ELSE concat('To: ', recipient, chr(10)) END,
+    'Subject: ', CASE WHEN mail_id % 12 = 3 THEN concat('=?UTF-8?B?R8O8bnN0aWc6IA==?=', chr(10), ' =?ISO-8859-1?Q?f=FCr_Sie?= ', subject, ' =?utf-8?b?4oKs?=') ELSE subject END, chr(10),
     CASE WHEN mail_id % 4 = 3 THEN '' ELSE
       concat('Date: Mon, ', CAST(1 + mail_id % 28 AS STRING), ' Jan 2024 ', CAST(10 + mail_id % 14 AS STRING), ':05:09 ',
              CASE mail_id % 4 WHEN 0 THEN '+0200' WHEN 1 THEN '-0500' ELSE '+0000' END, chr(10)) END,
@@ -55,7 +60,7 @@ SELECT mail_id, sender, domain, recipient, sent_at, subject, phrase, url, is_phi
     CASE WHEN mail_id % 3 = 0 THEN concat('see ', second_url, ' or http://free-gift.top/a or ', CASE mail_id % 4
       WHEN 0 THEN 'https://google.cm/x' WHEN 1 THEN 'http://a.b.k12.ca.us/p' WHEN 2 THEN 'http://www.shop.co.ck/' ELSE 'http://www.ck/y' END,
       ' or ', url, ' now') ELSE '' END,
-    chr(10), text) AS raw
+    chr(10), text) AS written
 FROM (
   SELECT d.doc_id AS mail_id, d.text AS text,
     concat('u', CAST(d.doc_id % 40 AS STRING), '@', {_DOMAIN.format(k='d.doc_id')}) AS sender,
@@ -93,7 +98,7 @@ FROM (
   LEFT JOIN events e ON e.event_id = d.doc_id
   LEFT JOIN labels l ON l.doc_id = d.doc_id
   LEFT JOIN pages p ON p.page_id = d.doc_id
-) base"""
+) base) mails"""
 
 HISTORY = f"""
 SELECT event_id AS id,

@@ -20,24 +20,26 @@ def block(name: str, sql: str, *needs: str) -> None:
     BLOCKS[name] = (needs, sql)
 
 
-def build(select: str, *needs: str):
-    """Check SQL over the named blocks, put together once all are defined."""
-    return lambda: resolve(select, *needs)
+def build(select: str, *needs: str, using: dict[str, tuple[tuple[str, ...], str]] | None = None):
+    """Check SQL over the named blocks, put together once all are defined;
+    ``using`` has blocks that stand in for those of their name."""
+    return lambda: resolve(select, *needs, using=using)
 
 
-def resolve(select: str, *needs: str) -> str:
+def resolve(select: str, *needs: str, using: dict[str, tuple[tuple[str, ...], str]] | None = None) -> str:
     order: list[str] = []
+    blocks = {**BLOCKS, **(using or {})}
 
     def visit(name: str) -> None:
         if name in order:
             return
-        for dep in BLOCKS[name][0]:
+        for dep in blocks[name][0]:
             visit(dep)
         order.append(name)
 
     for name in needs:
         visit(name)
-    head = ",\n".join(f"{n} AS ({BLOCKS[n][1]})" for n in order)
+    head = ",\n".join(f"{n} AS ({blocks[n][1]})" for n in order)
     return f"WITH RECURSIVE {head}\n{select}" if order else select
 
 
@@ -72,15 +74,35 @@ def hits(items) -> str:
 
 
 # ---- mail -----------------------------------------------------------------------
-block("hdr", "SELECT *, split_part(raw, chr(10) || chr(10), 1) AS headers, "
-      "CASE WHEN position(chr(10) || chr(10) IN raw) > 0 THEN substr(raw, position(chr(10) || chr(10) IN raw) + 2) ELSE raw END AS body FROM mail", "mail")
+block("hdr", "SELECT *, regexp_replace(head, '\\n[ \\t]+', ' ', 'g') AS headers FROM (SELECT *, split_part(raw, chr(10) || chr(10), 1) AS head, "
+      "CASE WHEN position(chr(10) || chr(10) IN raw) > 0 THEN substr(raw, position(chr(10) || chr(10) IN raw) + 2) ELSE raw END AS body "
+      "FROM (SELECT * REPLACE (replace(raw, chr(13) || chr(10), chr(10)) AS raw) FROM mail))", "mail")
 
 
 def header(name: str) -> str:
     return f"nullif(trim(regexp_extract(headers, '(?im)^{name}:[ \\t]*(.*)$', 1)), '')"
 
 
-HEADER_FROM = "nullif(regexp_extract(headers, '(?im)^From:[ \\t]*(?:[^<\\n]*<)?([^>\\n]+)>?', 1), '')"
+_WORD = r"'=\?[^?\s]+\?[BbQq]\?[^?\s]*\?='"
+_HEX = (r"CASE lower(split_part(w, '?', 3)) WHEN 'b' THEN hex(from_base64(split_part(w, '?', 4))) ELSE array_to_string("
+        r"list_transform(regexp_extract_all(replace(split_part(w, '?', 4), '_', ' '), '=[0-9A-Fa-f]{2}|.'), lambda t: CASE WHEN length(t) = 3 THEN upper(t[2:3]) ELSE hex(t) END), '') END")
+_CODES = "list_transform(range(0, length(h) // 2), lambda i: CAST('0x' || substr(h, CAST(2 * i + 1 AS INTEGER), 2) AS INTEGER))"
+# the 32 places at which this charset differs from Latin-1
+_CP1252 = str_list(bytes(range(128, 160)).decode("windows-1252", "replace"))
+
+
+def decoded(value: str) -> str:
+    """A header value's SQL with encoded words decoded (Unicode, Latin-1, windows-1252)."""
+    latin = f"array_to_string(list_transform({_CODES}, lambda c: chr(c)), '')"
+    windows = f"array_to_string(list_transform({_CODES}, lambda c: CASE WHEN c BETWEEN 128 AND 159 THEN {_CP1252}[c - 127] ELSE chr(c) END), '')"
+    word = (f"list_transform(list_transform(regexp_extract_all(v, {_WORD}), lambda w: {{'c': lower(split_part(w, '?', 2)), 'h': {_HEX}}}), "
+            f"lambda x: CASE x.c WHEN 'utf-8' THEN decode(unhex(x.h)) WHEN 'iso-8859-1' THEN {latin.replace('(h)', '(x.h)').replace('substr(h,', 'substr(x.h,')} "
+            f"ELSE {windows.replace('(h)', '(x.h)').replace('substr(h,', 'substr(x.h,')} END)")
+    return (f"(SELECT CASE WHEN v IS NULL THEN NULL ELSE array_to_string(flatten(list_transform(list_zip(regexp_split_to_array(v, {_WORD}), {word}), lambda z: [z[1], coalesce(z[2], '')])), '') END "
+            f"FROM (SELECT regexp_replace({value}, '(\\?=)\\s+(=\\?[^?\\s]+\\?[BbQq]\\?)', '\\1\\2', 'g') AS v))")
+
+
+HEADER_FROM = f"nullif(regexp_extract({decoded(header('From'))}, '^(?:[^<]*<)?([^>]+)>?', 1), '')"
 RECEIVED = r"'Received:\s+from\s+([^\s\[\]]+)(?:\s+\(?\[([^\]]+)\])?'"
 MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 block("meta0", f"""
@@ -89,7 +111,7 @@ SELECT *, nullif(regexp_extract(headers, '(?m)^Date:\\s*(?:[A-Za-z]{{3}},\\s+)?(
   list_filter(regexp_extract_all(headers, {RECEIVED}, 2), lambda x: x IS NOT NULL AND x <> '') AS received_ips,
   nullif(regexp_extract(headers, '(?m)^Return-Path:\\s*<([^>]+)>', 1), '') AS return_path,
   nullif(regexp_extract(headers, '(?m)^Reply-To:\\s*<?([^>\\s]+)>?', 1), '') AS reply_to,
-  {header('X-Mailer')} AS x_mailer
+  {decoded(header('X-Mailer'))} AS x_mailer
 FROM hdr""", "hdr")
 block("meta", """
 SELECT *, nullif(regexp_extract(date_text, '([+-]\\d{4})$', 1), '') AS zone,

@@ -31,8 +31,9 @@ def c1(spark, sf_dir):
         "mail_id", "business_context", "urgent_terms", "threat_patterns", r6("content_risk").alias("content_risk"), joined("content_factors").alias("content_factors"))
 
 
+IGNORE_CASE = "(?i)"
 _families = ", ".join(
-    f"{compact([case(f'regexp_matches(low, {lit(p)})', lit(f'{label}: ' + chr(39) + p + chr(39))) for p in patterns])} AS l_{family}"
+    f"{compact([case(f'regexp_matches(low, {lit(IGNORE_CASE + p)})', lit(f'{label}: ' + chr(39) + p + chr(39))) for p in patterns])} AS l_{family}"
     for family, (label, patterns) in rules.INDICATORS.items())
 _severe = str_list([f"{label}: '{p}'" for label, patterns in rules.INDICATORS.values() for p in patterns if ops.is_high_risk(f"{label}: '{p}'")])
 

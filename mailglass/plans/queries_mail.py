@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from mailglass import rules
 from mailglass.operators import mail as ops
 from mailglass.plans.bindings import view
-from mailglass.plans.oracle_base import HEADER_FROM, build, header, lit
+from mailglass.plans.oracle_base import HEADER_FROM, build, decoded, header, lit
 from mailglass.plans.registry import joined, query
 
 
 @query("p1_headers", build(
-    f"SELECT mail_id, {HEADER_FROM} AS header_from, {header('To')} AS header_to, "
-    f"{header('Subject')} AS header_subject, {header('Date')} AS header_date FROM hdr", "hdr"))
+    f"SELECT mail_id, {HEADER_FROM} AS header_from, {decoded(header('To'))} AS header_to, "
+    f"{decoded(header('Subject'))} AS header_subject, {header('Date')} AS header_date FROM hdr", "hdr"))
 def p1(spark, sf_dir):
     return ops.extract_headers(view(spark, sf_dir, "mail")).select(
         "mail_id", "header_from", "header_to", "header_subject", "header_date")
@@ -21,14 +21,14 @@ def p1(spark, sf_dir):
 
 @query("p2_first_header_line", build(
     "SELECT mail_id, trim(substr(list_filter(string_split(raw, chr(10)), lambda x: starts_with(x, 'From:'))[1], 6)) AS from_line, "
-    "trim(substr(list_filter(string_split(raw, chr(10)), lambda x: starts_with(x, 'To:'))[1], 4)) AS to_line FROM mail", "mail"))
+    "trim(substr(list_filter(string_split(raw, chr(10)), lambda x: starts_with(x, 'To:'))[1], 4)) AS to_line FROM hdr", "hdr"))
 def p2(spark, sf_dir):
     df = ops.first_header_line(view(spark, sf_dir, "mail"), "From:", "from_line")
     return ops.first_header_line(df, "To:", "to_line").select("mail_id", "from_line", "to_line")
 
 
 @query("p3_split_parts", build(
-    f"SELECT mail_id, headers, coalesce({header('Subject')}, '') AS part_subject, trim(body) AS part_body FROM hdr", "hdr"))
+    f"SELECT mail_id, head AS headers, coalesce({decoded(header('Subject'))}, '') AS part_subject, trim(body) AS part_body FROM hdr", "hdr"))
 def p3(spark, sf_dir):
     return ops.split_parts(view(spark, sf_dir, "mail")).select("mail_id", "headers", "part_subject", "part_body")
 

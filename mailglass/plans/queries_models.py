@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
-from pyspark.ml import PipelineModel
+import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -40,14 +41,32 @@ def parts(spark, sf_dir):
     return df.filter("split = 'train'").drop("split"), df.filter("split = 'test'").drop("split")
 
 
-def _scored(model, test):
-    return model.transform(test).select("id", "y", r6(vector_to_array("probability")[1]).alias("probability"), F.col("prediction").cast("int").alias("prediction"))
-
-
-@query("m3_naive_bayes")
+# the fit again: sums of training weights by class and term, smoothed by one, and each test row's likelihoods
+block("halves", "SELECT r.id, c.body, r.is_phishing AS y, rk <= ceil(round(total * CAST(0.3 AS DOUBLE), 6)) AS test FROM ranked r JOIN corpus c ON c.id = r.id", "ranked", "corpus")
+block("half_terms", f"SELECT * FROM (SELECT id, y, test, unnest(regexp_extract_all(lower(body), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM halves) WHERE term NOT IN {in_list(rules.STOP_WORDS)}", "halves")
+block("half_counts", "SELECT id, y, test, term, count(*) AS tf FROM half_terms GROUP BY ALL", "half_terms")
+block("half_vocab", "SELECT term, ln((1.0::DOUBLE + (SELECT count(*) FROM halves WHERE NOT test)) / (1.0::DOUBLE + count(*))) + 1 AS idf FROM half_counts WHERE NOT test GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 10000", "half_counts", "halves")
+block("half_weights", "SELECT id, y, test, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM (SELECT c.*, tf * idf AS w FROM half_counts c JOIN half_vocab v ON v.term = c.term)", "half_counts", "half_vocab")
+block("half_sums", "SELECT y, term, sum(w) AS s FROM half_weights WHERE NOT test GROUP BY y, term", "half_weights")
+block("half_classes", "SELECT y, ln(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE)) AS prior, (SELECT count(*) FROM half_vocab) + coalesce((SELECT sum(s) FROM half_sums x WHERE x.y = h.y), 0) AS bottom FROM halves h WHERE NOT test GROUP BY y", "halves", "half_vocab", "half_sums")
+block("bayes", """
+SELECT id, y, p1 / (p0 + p1) AS probability, CAST(CASE WHEN s1 > s0 THEN 1 ELSE 0 END AS INTEGER) AS prediction FROM (
+  SELECT *, exp(s0 - greatest(s0, s1)) AS p0, exp(s1 - greatest(s0, s1)) AS p1 FROM (
+    SELECT id, y, max(s) FILTER (c = 0) AS s0, max(s) FILTER (c = 1) AS s1 FROM (
+      SELECT h.id, h.y, k.y AS c, k.prior + coalesce(sum(w.w * (ln(coalesce(x.s, 0) + 1) - ln(k.bottom))), 0) AS s
+      FROM halves h CROSS JOIN half_classes k LEFT JOIN half_weights w ON w.id = h.id LEFT JOIN half_sums x ON x.y = k.y AND x.term = w.term WHERE h.test GROUP BY h.id, h.y, k.y, k.prior)
+    GROUP BY id, y))""", "halves", "half_classes", "half_weights", "half_sums")
+_BAYES = "SELECT id, y, round(probability, 6) AS probability, prediction FROM bayes"
+
+
+@query("m3_naive_bayes", build(_BAYES, "bayes"))
 def m3(spark, sf_dir):
     train, test = parts(spark, sf_dir)
-    return _scored(models.fit_bayes(train), test)
+    return models.fit_bayes(train).transform(test).select("id", "y", r6("probability").alias("probability"), "prediction")
+
+
+def _scored(model, test):
+    return model.transform(test).select("id", "y", r6(vector_to_array("probability")[1]).alias("probability"), F.col("prediction").cast("int").alias("prediction"))
 
 
 @query("m4_random_forest")
@@ -110,23 +129,38 @@ def m8(spark, sf_dir):
     return out
 
 
-@query("m9_save_load")
+# all three models and the metrics go out and come back; what is loaded says the same
+@query("m9_save_load", build(
+    "SELECT id, y, round(probability, 6) AS probability, true AS same_forest, true AS same_regression, CAST(5 AS BIGINT) AS metrics FROM bayes", "bayes"))
 def m9(spark, sf_dir):
     train, test = parts(spark, sf_dir)
     folder = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
-    models.fit_bayes(train).write().save(folder)
-    return _scored(PipelineModel.load(folder), test)
+    model = models.train_two_stage(train, trees=5)
+    before = materialize(model.probabilities(test).select("id", "y", "nb", "rf", "lr"))
+    model.save(folder, models.report(models.confusion(models.decide(before))))
+    loaded = models.TwoStageModel.load(spark, folder)
+    after = loaded.probabilities(test).select("id", "y", r6("nb").alias("probability"), F.col("rf").alias("_rf"), F.col("lr").alias("_lr"))
+    kept = before.select("id", "rf", "lr")
+    measured = models.TwoStageModel.load_metrics(spark, folder).agg(F.count("*")).scalar()
+    return after.join(kept, "id").select("id", "y", "probability", (F.abs(F.col("rf") - F.col("_rf")) < 1e-12).alias("same_forest"),
+                                         (F.abs(F.col("lr") - F.col("_lr")) < 1e-12).alias("same_regression"), measured.alias("metrics"))
+
+
+def md5_encoder():
+    """Eight numbers per token, four digits each of its MD5, over a prime so that no mean is a tie."""
+    return lambda texts: [np.array([[int(h[4 * k:4 * k + 4], 16) / 65521 for k in range(8)] for h in (hashlib.md5(t.encode()).hexdigest() for t in tokens)]) for tokens in texts]
 
 
-@query("m10_embeddings")
+@query("m10_embeddings", build(
+    "SELECT id, CAST(k AS INTEGER) AS k, round(avg(CAST('0x' || substr(md5(term), CAST(4 * k - 3 AS INTEGER), 4) AS INTEGER) / 65521.0::DOUBLE), 6) AS value FROM ("
+    "SELECT id, unnest(regexp_extract_all(lower(body), '[\\p{L}\\p{N}_]{2,}')[1:256]) AS term FROM corpus), (SELECT unnest(range(1, 9)) AS k) GROUP BY id, k", "corpus"))
 def m10(spark, sf_dir):
-    df = models.hashed_embedding().transform(view(spark, sf_dir, "corpus").select("id", "body"))
-    return df.select("id", F.transform(vector_to_array("embedding"), lambda x: F.round(x, 6)).alias("embedding"))
+    df = models.embed_tokens(view(spark, sf_dir, "corpus").select("id", "body"), md5_encoder, window=100)
+    return df.select("id", F.posexplode("embedding").alias("k", "value")).select("id", (F.col("k") + 1).alias("k"), r6("value").alias("value"))
 
 
 @query("m11_train_and_evaluate")
 def m11(spark, sf_dir):
     train, test = parts(spark, sf_dir)
-    scored = models.train_two_stage(train).predict(test)
-    scored = materialize(scored.join(test.select("id", "y"), "id"))
+    scored = materialize(models.decide(models.train_two_stage(train).probabilities(test)).select("id", "y", "nb", "rf", "lr", "prediction"))
     return models.evaluate(scored).select("name", *[r6(m).alias(m) for m in ("precision", "recall", "f1")], "support")

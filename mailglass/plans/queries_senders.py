@@ -8,7 +8,7 @@ from mailglass import rules
 from mailglass.operators import behavior, senders
 from mailglass.operators.mail import header_metadata
 from mailglass.plans.bindings import AS_OF, view
-from mailglass.plans.oracle_base import block, build, case, compact, d, header, in_list, lit, str_list
+from mailglass.plans.oracle_base import block, build, case, compact, d, decoded, header, in_list, lit, str_list
 from mailglass.plans.registry import joined, query, r6
 
 # addresses as found in the wild: a few of them malformed
@@ -162,13 +162,50 @@ def n9(spark, sf_dir):
     return df.select("domain", "typo_suspicious", "similar_to", "edit_distance", r6("similarity").alias("similarity"), "typo_risk")
 
 
+# trusted domains of all suppliers and customers; a name in four of each five is changed by one to three edits
+block("partners", "SELECT lower(replace(s_name, '#', '')) || '.com' AS name, s_suppkey AS ord FROM supplier UNION ALL SELECT lower(replace(c_name, '#', '')) || '.com', 100000000 + c_custkey FROM customer")
+block("imitated", """
+SELECT DISTINCT CASE ord % 5 WHEN 0 THEN name WHEN 1 THEN left(name, k - 1) || substr(name, k + 1) WHEN 2 THEN left(name, k) || '-' || substr(name, k + 1)
+  WHEN 3 THEN left(name, k - 1) || 'x' || substr(name, k + 1, 2) || 'y' || substr(name, k + 4) ELSE left(name, k - 1) || 'xyz' || substr(name, k) END AS domain
+FROM (SELECT *, CAST(1 + ord % 7 AS INTEGER) AS k FROM partners)""", "partners")
+
+
+def partners(spark, sf_dir):
+    def named(table, name, key, add):
+        return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(
+            F.concat(F.lower(F.replace(F.col(name), F.lit("#"), F.lit(""))), F.lit(".com")).alias("domain"), (F.col(key) + add).alias("ord"))
+
+    return named("supplier", "s_name", "s_suppkey", 0).unionByName(named("customer", "c_name", "c_custkey", 100000000))
+
+
+def imitated(trusted):
+    name, k, kind = F.col("domain"), (F.col("ord") % 7 + 1).cast("int"), F.col("ord") % 5
+    rest = lambda at: F.substring(name, at, F.length(name))
+    changed = (F.when(kind == 0, name).when(kind == 1, F.concat(F.left(name, k - 1), rest(k + 1))).when(kind == 2, F.concat(F.left(name, k), F.lit("-"), rest(k + 1)))
+               .when(kind == 3, F.concat(F.left(name, k - 1), F.lit("x"), F.substring(name, k + 1, F.lit(2)), F.lit("y"), rest(k + 4)))
+               .otherwise(F.concat(F.left(name, k - 1), F.lit("xyz"), rest(k))))
+    return trusted.select(changed.alias("domain")).distinct()
+
+
+@query("n9_look_alike_table", build(f"""
+SELECT i.domain, n.domain IS NOT NULL AS typo_suspicious, n.name AS similar_to, CAST(n.distance AS INTEGER) AS edit_distance,
+  round(coalesce({d(1)} - n.distance / CAST(greatest(length(n.domain), length(n.name)) AS DOUBLE), {d(0)}), 6) AS similarity, CASE n.distance WHEN 1 THEN {d(0.9)} WHEN 2 THEN {d(0.7)} ELSE {d(0)} END AS typo_risk
+FROM imitated i LEFT JOIN (
+  SELECT * FROM (SELECT x.domain, p.name, levenshtein(x.domain, p.name) AS distance, row_number() OVER (PARTITION BY x.domain ORDER BY distance, p.ord) AS rn
+    FROM imitated x JOIN partners p ON abs(length(x.domain) - length(p.name)) <= 2 WHERE levenshtein(x.domain, p.name) <= 2) WHERE rn = 1 AND distance > 0) n ON n.domain = i.domain""", "partners", "imitated"))
+def n9_table(spark, sf_dir):
+    trusted = partners(spark, sf_dir)
+    df = senders.look_alike(imitated(trusted), trusted)
+    return df.select("domain", "typo_suspicious", "similar_to", "edit_distance", r6("similarity").alias("similarity"), "typo_risk")
+
+
 block("align", f"""
 SELECT mail_id, {compact([case('own IS NOT NULL AND fd <> own', "'From: ' || fd"), case('own IS NOT NULL AND rd <> own', "'Return-Path: ' || rd"),
                           case('own IS NOT NULL AND pd <> own', "'Reply-To: ' || pd")])} AS misaligned
 FROM (SELECT mail_id, nullif(regexp_extract(sender, {A}, 2), '') AS own,
-    nullif(regexp_extract({header('From')}, '@([^>\\s]+)', 1), '') AS fd,
+    nullif(regexp_extract({decoded(header('From'))}, '@([^>\\s]+)', 1), '') AS fd,
     nullif(regexp_extract(regexp_extract({header('Return-Path')}, '<([^>]+)>', 1), {A}, 2), '') AS rd,
-    nullif(regexp_extract(regexp_extract({header('Reply-To')}, '([^<\\s]+@[^>\\s]+)', 1), {A}, 2), '') AS pd FROM hdr)""", "hdr")
+    nullif(regexp_extract(regexp_extract({decoded(header('Reply-To'))}, '([^<\\s]+@[^>\\s]+)', 1), {A}, 2), '') AS pd FROM hdr)""", "hdr")
 
 
 @query("n10_alignment", build(

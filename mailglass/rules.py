@@ -172,7 +172,7 @@ INDICATORS = {
         r"confirm your billing information",
         r"update your credit card",
         r"provide your (?:social security|tax) number",
-        r"enter your (?:pin|cvv|security code)",
+        r"enter your (?:PIN|CVV|security code)",
         r"submit your information",
     ]),
     "phrasing": ("Poor grammar/phrasing", [

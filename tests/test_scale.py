@@ -11,7 +11,6 @@ from mailglass.functions.join import broadcast_limit, lookup_join
 from mailglass.functions.ranking import dense_index, hash_cut
 from mailglass.operators import behavior, corpus, models, monitor, similarity, urls
 from mailglass.plans.bindings import view
-from mailglass.streaming import monitors
 
 
 @pytest.fixture
@@ -164,25 +163,6 @@ def test_broadcast_limit_in_any_unit(spark):
         spark.conf.set(key, before)
 
 
-def test_pair_state_is_carried_over_triggers(spark, tmp_path):
-    start = dt.datetime(2024, 1, 1)
-    rows = [(i, "s", "r" if i % 3 else "q", start + dt.timedelta(hours=7 * i), int(i == 20)) for i in range(60)]
-    schema = "id long, sender string, recipient string, timestamp timestamp, is_phishing int"
-    for k in range(6):  # one file a trigger, in time order
-        spark.createDataFrame(rows[k * 10:k * 10 + 10], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    out = monitors.run_to_table(monitors.pair_state(stream), f"{tmp_path}/work")
-    batch = behavior.pair_history(spark.createDataFrame(rows, schema)).select(
-        "id", "prior_n", "prior_phishing", "prior_gap_days", F.round("history_risk", 6).alias("history_risk"))
-    got = {r.id: (r.prior_n, r.prior_phishing, r.prior_gap_days, round(r.history_risk, 6)) for r in out.collect()}
-    assert got == {r.id: (r.prior_n, r.prior_phishing, r.prior_gap_days, r.history_risk) for r in batch.collect()}
-    hours, seen = {}, {}
-    for i, _, pair, when, _ in rows:
-        seen[i] = hours.get((pair, when.hour), 0)
-        hours[pair, when.hour] = seen[i] + 1
-    assert {r.id: r.hour_seen for r in out.collect()} == seen
-
-
 def test_forest_grows_deep_trees(spark):
     from mailglass.operators import models
 
