@@ -157,11 +157,14 @@ def _foreign_host_with(token: str, own: str):
 
 
 def url_manipulation(images: DataFrame, text: str = "ocr_text") -> DataFrame:
-    """Non-ASCII links and brand names in foreign hosts (high), cheap TLDs (medium)."""
+    """Non-ASCII links and brand names in foreign hosts (high), cheap TLDs (medium).
+
+    Hosts are those of links and those that stand in the text without a scheme.
+    """
     t = F.col(text)
-    df = images.withColumns({
+    df = domain_mentions(images, text).withColumns({
         "_odd": F.filter(F.regexp_extract_all(t, F.lit(HOMOGLYPH), F.lit(0)), lambda u: u.rlike(r"[^\x00-\x7F]")),
-        "_hosts": text_hosts(t)})
+        "_hosts": F.concat("link_hosts", "mentioned_domains")}).drop("link_hosts", "mentioned_domains")
     brands = compact(flag(F.exists("_hosts", _foreign_host_with(token, own)), f"{label} impersonation")
                      for label, token, own in rules.IMPERSONATION_BRANDS)
     cheap = F.exists("_hosts", lambda h: F.substring_index(h, ".", -1).isin(rules.SUSPICIOUS_TLDS))

@@ -107,7 +107,7 @@ SELECT * EXCLUDE (odd, brands, cheap), len(odd) + len(brands) AS high_findings,
   list_concat(list_concat(odd, brands), CASE WHEN cheap THEN ['Suspicious TLD detected'] ELSE CAST([] AS VARCHAR[]) END) AS manipulated,
   least({d(0.9)}, (len(odd) + len(brands)) * {d(0.3)} + CAST(cheap AS INTEGER) * {d(0.15)}) AS manipulation_risk
 FROM (SELECT *, [u for u in regexp_extract_all(ocr_text, 'https?://[^\s<>\x22]+') if regexp_matches(u, '[^\x00-\x7F]')] AS odd,
-  {_brand_hits} AS brands, len([h for h in hosts if string_split(h, '.')[-1] IN {in_list(rules.SUSPICIOUS_TLDS)}]) > 0 AS cheap FROM img_hosts)""", "img_hosts")
+  {_brand_hits} AS brands, len([h for h in hosts if string_split(h, '.')[-1] IN {in_list(rules.SUSPICIOUS_TLDS)}]) > 0 AS cheap FROM (SELECT * REPLACE (list_concat(hosts, mentioned) AS hosts) FROM mentions))""", "mentions")
 
 
 @query("c6_url_manipulation", build(

@@ -103,10 +103,10 @@ def s8(spark, sf_dir):
     folder = scratch(spark, "examples")
     rows = view(spark, sf_dir, "corpus").select("id", F.struct(
         F.col("body").alias("content"), (F.col("is_phishing") == 1).alias("is_phishing"), F.concat(F.lit("from "), "source").alias("explanation")).alias("e"))
-    # documents of a few examples each, one per line; their number grows with the table
-    docs = rows.groupBy(F.floor(F.col("id") / 5).alias("doc")).agg(F.collect_list("e").alias("examples")).select("examples")
-    docs.write.json(folder)
-    return spark.read.schema(readers.EXAMPLES).json(folder).select(F.inline("examples"))
+    # nested documents over many lines, a file each; their number grows with the table
+    docs = rows.groupBy(F.floor(F.col("id") / 500).alias("doc")).agg(F.collect_list("e").alias("examples"))
+    docs.select("doc", F.to_json(F.struct("examples"), {"pretty": "true"})).repartition("doc").write.partitionBy("doc").text(folder)
+    return readers.read_examples(spark, folder)
 
 
 @query("s9_vector_table", build("SELECT id, is_phishing, 'label' || label AS kind, len(embedding) AS dims, round(CAST(embedding[1] AS DOUBLE), 6) AS first_value FROM vectors", "vectors"))
@@ -118,16 +118,29 @@ def s9(spark, sf_dir):
                                                       r6(F.col("embedding")[0].cast("double")).alias("first_value"))
 
 
-@query("s10_report_rows", build(
-    "SELECT 'mail_' || id || '.eml' AS file, round(nb, 6) AS risk_score, CASE WHEN nb > 0.5 THEN 'score; lexicon' ELSE '' END AS risk_factors, printf('%.3f', lr * 3) AS analysis_time FROM prob WHERE id % 17 <> 0", "prob"))
+_REPORT = "'mail_' || id || '.eml' AS file, round(nb, 6) AS risk_score, CASE WHEN nb > 0.5 THEN 'score; lexicon' ELSE '' END AS risk_factors"
+
+
+@query("s10_report_rows", build(f"""
+SELECT 'csv' AS part, {_REPORT}, printf('%.3f', lr * 3) AS note FROM prob WHERE id % 17 <> 0
+UNION ALL SELECT 'detail', {_REPORT}, CASE WHEN id % 17 = 0 THEN 'unreadable' ELSE '' END FROM prob
+UNION ALL SELECT 'summary', k, CAST(v AS DOUBLE), '', '' FROM (SELECT unnest(['total_emails', 'phishing_emails', 'legitimate_emails', 'failed_emails']) AS k,
+  unnest([count(*), count(*) FILTER (id % 17 <> 0 AND nb > 0.5), count(*) FILTER (id % 17 <> 0 AND nb <= 0.5), count(*) FILTER (id % 17 = 0)]) AS v FROM prob)""", "prob"))
 def s10(spark, sf_dir):
     folder = scratch(spark, "report")
     df = view(spark, sf_dir, "prob").selectExpr(
         "concat('mail_', CAST(id AS STRING), '.eml') AS file", "nb AS risk_score", "lr * 3 AS analysis_time",
         "CASE WHEN id % 17 = 0 THEN 'unreadable' END AS error", "CASE WHEN nb > 0.5 THEN array('score', 'lexicon') ELSE array() END AS risk_factors")
     writers.write_reports(df, folder)
-    back = spark.read.option("header", "true").option("escape", '"').csv(f"{folder}/csv")
-    return back.select("file", r6(F.col("risk_score").cast("double")).alias("risk_score"), F.coalesce("risk_factors", F.lit("")).alias("risk_factors"), "analysis_time")
+    empty = F.lit("")
+    rows = spark.read.option("header", "true").option("escape", '"').csv(f"{folder}/csv").select(
+        F.lit("csv").alias("part"), "file", r6(F.col("risk_score").cast("double")).alias("risk_score"), F.coalesce("risk_factors", empty).alias("risk_factors"), F.col("analysis_time").alias("note"))
+    detail = spark.read.schema("file string, risk_score double, risk_factors array<string>, error string").json(f"{folder}/detail").select(
+        F.lit("detail"), "file", r6("risk_score"), F.array_join(F.coalesce("risk_factors", F.array().cast("array<string>")), "; "), F.coalesce("error", empty))
+    names = ("total_emails", "phishing_emails", "legitimate_emails", "failed_emails")
+    summary = spark.read.schema(", ".join(f"{n} double" for n in names)).json(f"{folder}/summary").select(
+        F.explode(F.array(*[F.struct(F.lit(n).alias("k"), F.col(n).alias("v")) for n in names])).alias("e")).select(F.lit("summary"), "e.k", "e.v", empty, empty)
+    return rows.union(detail).union(summary)
 
 
 @query("s11_detection_log", build("SELECT CAST(timestamp AS DATE) AS day, count(*) AS n, count(*) FILTER (WHERE is_phishing) AS phishing FROM detections GROUP BY 1", "detections"))
