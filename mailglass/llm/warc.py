@@ -12,6 +12,7 @@ folder of their own write, the commit moves those that belong to the result.
 
 from __future__ import annotations
 
+import gzip
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -78,6 +79,23 @@ def parse_headers(head: bytes) -> dict[str, str]:
     return out
 
 
+class _Unzipped:
+    """The content of an archive of gzip members, read once from front to back."""
+
+    def __init__(self, stream):
+        self.stream, self.at = gzip.GzipFile(fileobj=stream), 0
+
+    def read_at(self, n: int, at: int) -> bytes:
+        while self.at < at and (skipped := self.stream.read(min(1 << 20, at - self.at))):
+            self.at += len(skipped)
+        parts = []
+        while n > 0 and (part := self.stream.read(n)):
+            parts.append(part)
+            n -= len(part)
+            self.at += len(part)
+        return b"".join(parts)
+
+
 class _Window:
     """Reads of a file through one buffer, with skips that do not read."""
 
@@ -86,7 +104,12 @@ class _Window:
 
     def bytes(self, at: int, n: int) -> bytes:
         if not (self.at <= at and at + n <= self.at + len(self.data)):
-            self.at, self.data = at, self.source.read_at(min(max(n, self.chunk), self.size - at), at)
+            held = self.data[at - self.at :] if self.at <= at else b""
+            more = min(max(n - len(held), self.chunk), self.size - at - len(held))
+            read = self.source.read_at(more, at + len(held)) if more > 0 else b""
+            if len(read) < more:
+                self.size = at + len(held) + len(read)  # a compressed file's end is known when it is reached
+            self.at, self.data = at, held + read
         return self.data[at - self.at : at - self.at + n]
 
     def until(self, at: int, mark: bytes) -> int:
@@ -127,16 +150,17 @@ class WarcReader(DataSourceReader):
         own = system.get_file_info(path)
         files = [own] if own.is_file else system.get_file_info(fs.FileSelector(path, recursive=True))
         uri = lambda p: f"{scheme}{host}{p}" if scheme else p
-        return [Archive(uri(f.path)) for f in files if f.is_file and f.path.endswith(".warc") and "/_staging" not in f.path] or [Archive("")]
+        return [Archive(uri(f.path)) for f in files if f.is_file and f.path.endswith((".warc", ".warc.gz")) and "/_staging" not in f.path] or [Archive("")]
 
     def read(self, part: Archive) -> Iterator[pa.RecordBatch]:
         if not part.file:
             return
         system, path = open_folder(part.file)
-        with system.open_input_file(path) as source:
-            window = _Window(source, source.size())
+        zipped = path.endswith(".gz")
+        with system.open_input_stream(path, compression=None) if zipped else system.open_input_file(path) as source:
+            window = _Window(_Unzipped(source), 1 << 62) if zipped else _Window(source, source.size())
             at, rows, held = 0, [], 0
-            while at < window.size:
+            while window.bytes(at, 1):
                 end = window.until(at, b"\r\n\r\n")
                 if end < 0 or window.bytes(at, len(VERSION)) != VERSION:
                     raise ValueError(f"{part.file}: no record at {at}")
@@ -240,14 +264,15 @@ def records_of(pages: DataFrame, shortest: int = 100, date: str = "2024-01-01T00
     payloads of at least ``shortest`` bytes the one with the smallest page_id is a
     response and the others revisit it; shorter ones are responses. The rows of one page
     are told apart by their digests. Only ids and digests are grouped; payloads move
-    once, by page_id and digest, and a revisit's is left out.
+    once, by page_id and digest, and a revisit's is left out. A row without a page_id
+    revisits like any other, and is never the one that is revisited if another has an id.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     own = pages.select("page_id", F.col("url").alias("target_uri"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("payload_bytes"))
     narrow = materialize(own.select("page_id", "digest", "payload_bytes"))
     first = narrow.filter(F.col("payload_bytes") >= shortest).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
-    again = narrow.filter(F.col("payload_bytes") >= shortest).join(first, "digest").filter("page_id <> first").select("page_id", "digest", "first").distinct()
-    joined = own.join(again, ["page_id", "digest"], "left")
+    again = narrow.filter(F.col("payload_bytes") >= shortest).join(first, "digest").filter("NOT (page_id <=> first)").select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "first").distinct()
+    joined = own.join(again, (own["digest"] == again["_digest"]) & own["page_id"].eqNullSafe(again["_page"]), "left")
     revisit = F.col("first").isNotNull()
     return joined.select(
         F.when(revisit, "revisit").otherwise("response").alias("record_type"), record_urn(F.col("page_id")).alias("record_id"), "target_uri", F.lit(date).alias("date"),
