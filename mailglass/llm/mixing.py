@@ -57,14 +57,20 @@ def share_out(children: DataFrame, parents: DataFrame, on: list[str], name: str)
 
 def leaf_budgets(leaves: DataFrame, weights: DataFrame, levels: list[str], budget: Column | int, max_epochs: int) -> DataFrame:
     """levels, n_docs, tokens and budget of each leaf. ``weights``: level, node, weight (a
-    whole number) for nodes by name; a node without one weighs 1. ``budget`` is an
-    expression of ``capacity``, the whole tree's, or a number."""
-    nodes = leaves.withColumn("capacity", F.col("tokens") * max_epochs)
+    whole number) for nodes by name; a node without one weighs 1, and one of weight 0 gets
+    nothing. ``budget`` is an expression of ``capacity``, what the whole tree can take, or
+    a number."""
+    nodes = leaves
+    for i, level in enumerate(levels):
+        own = weights.filter(F.col("level") == level).select(F.col("node").alias(level), F.col("weight").cast("long").alias(f"_w{i}"))
+        nodes = nodes.join(own, level, "left").withColumn(f"_w{i}", F.coalesce(f"_w{i}", F.lit(1).cast("long")))
+    # what lies below a weight of 0 gets nothing, so nothing can be given to its ancestors for it
+    reached = F.least(*(F.col(f"_w{i}") for i in range(len(levels))), F.lit(1).cast("long")) > 0
+    nodes = nodes.withColumn("capacity", F.when(reached, F.col("tokens") * max_epochs).otherwise(0))
     parents = nodes.agg(F.coalesce(F.sum("capacity"), F.lit(0)).alias("capacity")).select(F.least(F.lit(budget) if isinstance(budget, int) else budget, F.col("capacity")).cast("long").alias("budget"))
     for depth, level in enumerate(levels):
         on = levels[:depth]
-        own = weights.filter(F.col("level") == level).select(F.col("node").alias(level), "weight")
-        children = nodes.groupBy(*on, level).agg(F.sum("capacity").alias("capacity")).join(own, level, "left").withColumn("weight", F.coalesce("weight", F.lit(1)).cast("long"))
+        children = nodes.groupBy(*on, level).agg(F.sum("capacity").alias("capacity"), F.first(f"_w{depth}").alias("weight"))
         parents = share_out(children, parents, on, level).select(*on, level, "budget")
     return leaves.join(parents, levels, "left").withColumn("budget", F.coalesce("budget", F.lit(0).cast("long")))
 
