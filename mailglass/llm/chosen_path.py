@@ -128,29 +128,34 @@ def _factors(s: Settings) -> np.ndarray:
     return np.random.default_rng(s.seed).integers(1, 1 << 63, s.coordinates, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def sketches(documents: DataFrame, s: Settings) -> DataFrame:
-    """(doc_id, set key, sketch) of every row; nulls for a text without words or a row without id."""
+def sketches(documents: DataFrame, s: Settings, keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, set key, sketch) of every row and its columns ``keep``; nulls for a text without words or a row without id."""
     factors = _factors(s)
+    keep = keep or []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id")
-            for first, grams, counts in shingles(batch.column("text"), s.words):
+            own = [batch.column(c) for c in range(batch.num_columns - 1)]
+            for first, grams, counts in shingles(batch.column(batch.num_columns - 1), s.words):
                 full = np.flatnonzero(counts)
                 bare = np.flatnonzero(counts == 0)
                 if len(bare):
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(first + bare)), pa.nulls(len(bare), pa.binary()), pa.nulls(len(bare), pa.binary())], names=["doc_id", "key", "sketch"])
+                    at = pa.array(first + bare)
+                    yield pa.RecordBatch.from_arrays([*(c.take(at) for c in own), pa.nulls(len(bare), pa.binary()), pa.nulls(len(bare), pa.binary())], names=["doc_id", *keep, "key", "sketch"])
                 if not len(full):
                     continue
                 starts = (np.cumsum(counts) - counts)[full]
                 sketch = np.empty((len(full), s.coordinates), np.uint32)
                 for i, factor in enumerate(factors):
                     sketch[:, i] = np.minimum.reduceat(grams * factor, starts) >> np.uint64(32)
+                at = pa.array(first + full)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(first + full)), _rows_of_bytes(_keys(grams, counts)[full]), _rows_of_bytes(sketch)], names=["doc_id", "key", "sketch"])
+                    [*(c.take(at) for c in own), _rows_of_bytes(_keys(grams, counts)[full]), _rows_of_bytes(sketch)], names=["doc_id", *keep, "key", "sketch"])
 
     text = F.when(F.col("doc_id").isNotNull(), text_of(documents)).otherwise("")
-    return documents.select(F.col("doc_id").cast("long"), text.alias("text")).mapInArrow(run, "doc_id long, key binary, sketch binary")
+    kinds = dict(documents.dtypes)
+    shape = ", ".join(["doc_id long", *(f"`{c}` {kinds[c]}" for c in keep), "key binary", "sketch binary"])
+    return documents.select(F.col("doc_id").cast("long"), *keep, text.alias("text")).mapInArrow(run, shape)
 
 
 def _keys(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -419,8 +424,8 @@ def exact_links(members: DataFrame, s: Settings) -> DataFrame:
     return dealt.select("grp", "i", "j", "mine", "rep", "copies", "key", "text").mapInArrow(run, "a long, b long, links long")
 
 
-def near_duplicates(documents: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """doc_id, class_id, component_id, n_links, kept for every row of ``documents``.
+def near_duplicates(documents: DataFrame, s: Settings = Settings(), keep: list[str] | None = None) -> DataFrame:
+    """doc_id, class_id, component_id, n_links, kept for every row of ``documents``, and its columns ``keep``.
 
     class_id is the smallest doc_id with the same set of shingles; n_links counts the
     other rows whose sets have a Jaccard similarity of at least ``similarity``, exact
@@ -430,7 +435,7 @@ def near_duplicates(documents: DataFrame, s: Settings = Settings()) -> DataFrame
     Rows that repeat a doc_id are rows of their own;
     equal ones are kept or dropped together.
     """
-    own = materialize(sketches(documents, s))
+    own = materialize(sketches(documents, s, keep))
     first = F.min(F.struct("doc_id", "sketch"))
     classes = materialize(own.filter("key is not null").groupBy("key").agg(first.alias("m"), F.count("*").alias("copies")).select(
         "key", F.xxhash64("key").alias("rep"), F.col("m.doc_id").alias("class_id"), "copies", F.col("m.sketch").alias("sketch")))
@@ -447,7 +452,7 @@ def near_duplicates(documents: DataFrame, s: Settings = Settings()) -> DataFrame
     table = materialize(table.select("key", "class_id", "root", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
     smallest = table.groupBy("root").agg(F.min("class_id").alias("component_id"))
     table = table.join(smallest, "root").drop("root")
-    joined = own.select("doc_id", "key").join(table, "key", "left")
+    joined = own.select("doc_id", *(keep or []), "key").join(table, "key", "left")
     component = F.coalesce("component_id", "doc_id")
-    return joined.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), component.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+    return joined.select("doc_id", *(keep or []), F.coalesce("class_id", "doc_id").alias("class_id"), component.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                          F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
