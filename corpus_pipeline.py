@@ -33,9 +33,19 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near duplicates the text with the smallest doc_id stays."""
-    away = chosen_path.near_duplicates(docs).filter(~F.col("kept")).select("doc_id")
-    return docs.join(away, "doc_id", "left_anti").select(*docs.columns)
+    """Of every group of near duplicates the text with the smallest doc_id stays.
+
+    Rows are told apart by doc_id and text, so of two texts under one doc_id one may go
+    and the other stay; of rows that share both, one stays. Texts without words stay, and
+    so do rows without a doc_id.
+    """
+    marked = docs.withColumn("_digest", F.sha2(F.coalesce("text", F.lit("")), 256))
+    judged = chosen_path.near_duplicates(marked, keep=["_digest"]).filter("doc_id IS NOT NULL")
+    # what goes, and what is there more than once: the rest need not be touched
+    known = materialize(judged.groupBy("doc_id", "_digest").agg(F.min("kept").alias("_kept"), F.count("*").alias("_n")).filter("NOT _kept OR _n > 1"))
+    left = marked.join(known, ["doc_id", "_digest"], "left").filter("_kept IS NULL OR _kept")
+    again = left.filter("_n > 1").dropDuplicates(["doc_id", "_digest"])
+    return left.filter("_n IS NULL OR _n = 1").unionByName(again).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
