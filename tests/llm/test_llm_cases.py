@@ -214,6 +214,21 @@ def test_warc_round_trip(spark, make):
     assert bytes(warc.read_warc(spark, folder).filter("record_id in ('<urn:x-page:5>')").first().payload).decode() == tricky
 
 
+def test_warc_compressed(spark, make):
+    import os
+
+    pages = make([(i, "u", f"<p>{i // 2}" + "text " * 2000, "", "", 0) for i in range(20)] + [(20, None, None, "", "", 0)], PAGES)
+    sizes, got = [], []
+    for compress in (False, True):
+        folder = new_folder(spark, "warc")
+        warc.write_warc(warc.records_of(pages), folder, 30_000, compress=compress)
+        files = [os.path.join(at, f) for at, _, names in os.walk(folder.removeprefix("file:")) for f in names if ".warc" in f and not f.startswith(".")]
+        assert len(files) > 2 and all(f.endswith(".warc.gz" if compress else ".warc") for f in files)
+        sizes.append(sum(map(os.path.getsize, files)))
+        got.append(sorted(map(tuple, warc.page_index(spark, folder).collect())))
+    assert got[0] == got[1] and len(got[0]) == 21 and sizes[1] < sizes[0] / 4
+
+
 def test_warc_repeated_page_ids(spark, make):
     x, y, z = "<p>x" * 50, "<p>y" * 50, "<p>z" * 50
     ids = [(3, x), (5, x), (5, x), (5, y), (6, z), (6, z), (7, "short"), (7, "short"), (7, x)]
