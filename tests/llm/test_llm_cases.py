@@ -462,3 +462,27 @@ def test_graph_finds_neighbours():
 
 def test_scratch_is_shared(spark, docs):
     assert materialize(docs.limit(1)).count() == 1
+
+
+def test_sets_that_resemble_each_other_are_not_split(spark, monkeypatch):
+    s, rng = chosen_path.Settings(small=8), np.random.default_rng(5)
+    base, made = rng.integers(0, 1 << 32, s.coordinates, np.uint32), []
+    rows = []
+    for rep in range(300):
+        sketch = base.copy()
+        sketch[rng.permutation(s.coordinates)[:4]] = rng.integers(0, 1 << 32, 4, np.uint32)
+        rows.append((rep, bytearray(sketch.tobytes())))
+    rows += [(rep, bytearray(rng.integers(0, 1 << 32, s.coordinates, np.uint32).tobytes())) for rep in range(300, 600)]
+    classes = spark.createDataFrame(rows, "rep long, sketch binary")
+    real = chosen_path.split
+
+    def split(nodes, s, root=None):
+        if root is None:
+            made.append(nodes.count())
+        return real(nodes, s, root)
+
+    monkeypatch.setattr(chosen_path, "split", split)
+    linked = chosen_path.candidates(chosen_path.leaves(classes, s), s)
+    roots = {r.node: r.root for r in components.components(linked).collect()}
+    assert [roots[k] for k in range(300)] == [0] * 300 and max(roots) < 300
+    assert sum(made) == 0
