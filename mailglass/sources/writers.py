@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Files in a folder of :func:`write_files`, about.
+PER_FOLDER = 2000
+
 
 def report_rows(results: DataFrame) -> DataFrame:
     """CSV form of scored mails: factors joined by '; ', times with three
@@ -46,3 +52,43 @@ def save_vectors(table: DataFrame, path: str) -> None:
     """Vector table with its metadata map; a new path per version, so that a
     table is never overwritten while it is read."""
     table.write.mode("errorifexists").parquet(path)
+
+
+def write_files(df: DataFrame, path: str, name: Column, text: Column) -> int:
+    """A text file for each distinct ``name``, its rows a line each; returns the number of files.
+
+    Names are dealt to numbered folders, whose number grows with the rows, and may
+    name a folder inside. Tasks write where the files stay, so that no step goes
+    over all files one by one; a retry writes the same files again.
+    """
+    from pyarrow import fs
+
+    spark = df.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    top = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    rows = df.select(name.alias("name"), F.coalesce(text, F.lit("")).cast("binary").alias("text"))
+    folders = max(1, -(-df.count() // PER_FOLDER))
+    rows = rows.withColumn("folder", F.pmod(F.xxhash64("name"), F.lit(folders)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = fs.FileSystem.from_uri(top)
+        made, last, out, n = set(), None, None, 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                file = f"{base}/folder={batch.column(0)[i].as_py()}/{batch.column(1)[i].as_py()}"
+                if file != last:
+                    if out is not None:
+                        out.close()
+                    parent = file.rpartition("/")[0]
+                    if parent not in made:
+                        system.create_dir(parent, recursive=True)
+                        made.add(parent)
+                    out, last, n = system.open_output_stream(file, buffer_size=1 << 16), file, n + 1
+                out.write(batch.column(2)[i].as_buffer())
+                out.write(b"\n")
+        if out is not None:
+            out.close()
+        yield pa.RecordBatch.from_pydict({"files": pa.array([n], pa.int64())})
+
+    dealt = rows.select("folder", "name", "text").repartition("folder", "name").sortWithinPartitions("folder", "name")
+    return dealt.mapInArrow(run, "files long").agg(F.sum("files")).first()[0] or 0

@@ -1,6 +1,9 @@
 """Readers and MIME bodies on files as they arrive."""
 
-from mailglass.sources import mime, readers
+from pyspark.sql import functions as F
+
+from mailglass.plans import queries_io
+from mailglass.sources import mime, readers, writers
 
 
 def test_mail_files_drop_bad_bytes(spark, tmp_path):
@@ -40,3 +43,21 @@ def test_mime_bodies(spark):
     df = spark.createDataFrame([(1, multi), (2, "Subject: s\n\n<p>one</p>  two\n"), (3, None)], "mail_id long, raw string")
     assert {r.mail_id: r.body for r in mime.mime_bodies(df).collect()} == {1: "plain html", 2: "one two", 3: ""}
     assert {r.mail_id: r.body for r in mime.mime_bodies(df, plain_only=True).collect()}[1] == "plain"
+
+
+def test_files_in_folders_that_grow_with_the_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(writers, "PER_FOLDER", 50)
+    df = spark.createDataFrame([(i, None if i == 7 else f"caf\u00e9 {i}\nend\r") for i in range(1000)] + [(3, "again")], "id long, body string")
+    assert writers.write_files(df, str(tmp_path / "out"), F.concat(F.lit("id="), "id", F.lit(".txt")), F.col("body")) == 1000
+    assert len(list((tmp_path / "out").iterdir())) <= 21
+    back = {r.path.rpartition("=")[2]: r.raw for r in readers.read_mail_files(spark, str(tmp_path / "out")).collect()}
+    assert len(back) == 1000 and back["7.txt"] == "\n" and back["12.txt"] == "caf\u00e9 12\nend\r\n"
+    assert sorted(back["3.txt"].split("\n")) == sorted(["caf\u00e9 3", "end\r", "again", ""])
+
+
+def test_mail_and_corpus_files_come_back(spark, monkeypatch):
+    tables = {"mail": spark.createDataFrame([(5, "a\n\nb\n"), (6, None), (None, "c")], "mail_id long, raw string"),
+              "corpus": spark.createDataFrame([(1, "\u00e9", 1), (2, "x\n", 0), (None, "", 0)], "id long, body string, is_phishing int")}
+    monkeypatch.setattr(queries_io, "view", lambda spark, sf_dir, name: tables[name])
+    assert {r.mail_id: r.raw for r in queries_io.s1(spark, "").collect()} == {5: "a\n\nb\n", 6: "", None: "c"}
+    assert {r.id: (r.label, r.n_chars) for r in queries_io.s3(spark, "").collect()} == {1: ("phishing", 2), 2: ("legitimate", 2), None: ("legitimate", 0)}
