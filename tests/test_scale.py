@@ -170,3 +170,17 @@ def test_forest_grows_deep_trees(spark):
     rows = [(i, " ".join(f"word{k}" for k in np.flatnonzero(rng.random(12) < 0.5)), int(rng.integers(2))) for i in range(300)]
     model = models.fit_forest(spark.createDataFrame(rows, "id long, body string, y int"), trees=3)
     assert max(tree.depth for tree in model.stages[-1].trees) > 5
+
+
+def test_token_windows_are_made_one_batch_at_a_time(spark):
+    """A row is one string until its windows are due; means are those over all its tokens."""
+    import numpy as np
+    import pandas as pd
+
+    from mailglass.operators import models
+
+    windows = models._windows(pd.Series(["a b c", "", "d"]), 2)
+    assert iter(windows) is windows and list(windows) == [(0, ["a", "b"]), (0, ["c"]), (2, ["d"])]
+    df = spark.createDataFrame([(1, "one three  fünf"), (2, None), (3, "!"), (4, "xx " * 300)], "id long, body string")
+    got = models.embed_tokens(df, lambda: lambda lists: [np.array([[len(t), 1.0] for t in x]) for x in lists], batch=2, window=7)
+    assert {r.id: r.embedding for r in got.collect()} == {1: [4.0, 1.0], 2: None, 3: None, 4: [2.0, 1.0]}
