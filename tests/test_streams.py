@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mailglass.operators import behavior
+from mailglass.plans import queries_streaming
 from mailglass.plans.queries_verdict import snapshots
 from mailglass.plans.bindings import view
 from mailglass.streaming import monitors, stateful
@@ -131,3 +132,22 @@ def test_a_retried_trigger_changes_nothing(spark, data, tmp_path):
     for r in one.select("sender", "recipient").collect():
         added[r.sender, r.recipient] = added.get((r.sender, r.recipient), 0) + 1
     assert pairs == {k: base.get(k, 0) + added.get(k, 0) for k in base.keys() | added.keys()}
+
+
+def test_a_join_keeps_one_store_a_partition(spark, tmp_path):
+    """Both sides, an hour apart in triggers of their own; late feedback finds its detection in the state."""
+    seen = triggers(spark, tmp_path / "d", "id long, timestamp timestamp, is_phishing boolean, confidence double", [[(i, hours(30 * k + i % 20), i % 2 == 0, 0.5) for i in range(20 * k, 20 * k + 20)] for k in range(3)])
+    said = triggers(spark, tmp_path / "f", "detection_id long, timestamp timestamp, issue_type string", [[(i, hours(30 * k + i % 20 + i % 4), "Other") for i in range(20 * k, 20 * k + 20)] for k in range(3)])
+    out = monitors.run_to_table(monitors.detections_with_feedback(seen, said), f"{tmp_path}/work")
+    assert sorted(r.det_id for r in out.collect()) == [i for i in range(60) if i % 4 < 3]
+    stores = {p.name for p in (tmp_path / "work/checkpoint/state/0/0").iterdir() if p.is_dir() and not p.name.startswith("_")}
+    assert not any("keyTo" in name or "keyWith" in name for name in stores)
+
+
+def test_a_large_slice_comes_in_more_files(spark, tmp_path, data, monkeypatch):
+    monkeypatch.setattr(queries_streaming, "FILE_ROWS", 10)
+    monkeypatch.setattr(queries_streaming, "folder", lambda spark: str(tmp_path))
+    spark.range(900).selectExpr("id AS event_id", "timestamp'2024-01-01' + make_dt_interval(0, id) AS ts", "id % 7 AS user_id", "'click' AS event_type", "1.0 AS value").write.parquet(f"{tmp_path}/t/events.parquet")
+    queries_streaming.arrivals(spark, f"{tmp_path}/t", queries_streaming.DETECTIONS)
+    assert len(list((tmp_path / "in").glob("*.parquet"))) == 9 * 10
+    assert spark.read.parquet(f"{tmp_path}/in").select("id").distinct().count() == 900
