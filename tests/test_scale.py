@@ -172,6 +172,26 @@ def test_forest_grows_deep_trees(spark):
     assert max(tree.depth for tree in model.stages[-1].trees) > 5
 
 
+def test_forest_partitions_are_bounded(spark):
+    from mailglass.operators import models
+
+    rows = spark.range(1000).coalesce(1)
+    assert models.in_parts(rows, 1000, 10_000, 8_000_000).rdd.getNumPartitions() == 5
+    assert models.in_parts(rows, 1000, 10_000).rdd.getNumPartitions() == 1
+    assert models.in_parts(rows.repartition(7), 1000, 10_000, 8_000_000).rdd.getNumPartitions() == 7
+
+
+def test_forest_learns_from_bounded_partitions(spark, monkeypatch):
+    from mailglass.operators import models
+
+    monkeypatch.setattr(models.in_parts, "__defaults__", (300,))
+    seen = []
+    monkeypatch.setattr(models.RandomForestClassifier, "fit", lambda self, rows: seen.append((rows.rdd.getNumPartitions(), rows.count(), self.getCacheNodeIds())))
+    train = spark.createDataFrame([(i, "good" if i % 2 else "bad", i % 2) for i in range(300)], "id long, body string, y int").coalesce(1)
+    models.fit_forest(train, trees=2)
+    assert seen == [(8, 300, True)]
+
+
 def test_token_windows_are_made_one_batch_at_a_time(spark):
     """A row is one string until its windows are due; means are those over all its tokens."""
     import numpy as np
