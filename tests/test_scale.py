@@ -176,20 +176,23 @@ def test_forest_partitions_are_bounded(spark):
     from mailglass.operators import models
 
     rows = spark.range(1000).coalesce(1)
-    assert models.in_parts(rows, 1000, 10_000, 8_000_000).rdd.getNumPartitions() == 5
-    assert models.in_parts(rows, 1000, 10_000).rdd.getNumPartitions() == 1
-    assert models.in_parts(rows.repartition(7), 1000, 10_000, 8_000_000).rdd.getNumPartitions() == 7
+    assert models.in_parts(rows, 40_000_000, 8_000_000).rdd.getNumPartitions() == 5
+    assert models.in_parts(rows, 40_000_000).rdd.getNumPartitions() == 1
+    assert models.in_parts(rows.repartition(7), 40_000_000, 8_000_000).rdd.getNumPartitions() == 7
 
 
-def test_forest_learns_from_bounded_partitions(spark, monkeypatch):
+@pytest.mark.parametrize("most, parts", [(10_000, 16), (2_000, 8)])
+def test_forest_learns_from_bounded_partitions(spark, monkeypatch, most, parts):
+    """300 rows of two terms are 2,400 bytes, read twice where nodes are kept."""
     from mailglass.operators import models
 
     monkeypatch.setattr(models.in_parts, "__defaults__", (300,))
+    monkeypatch.setattr(models, "KEPT_BYTES", most)
     seen = []
     monkeypatch.setattr(models.RandomForestClassifier, "fit", lambda self, rows: seen.append((rows.rdd.getNumPartitions(), rows.count(), self.getCacheNodeIds())))
     train = spark.createDataFrame([(i, "good" if i % 2 else "bad", i % 2) for i in range(300)], "id long, body string, y int").coalesce(1)
     models.fit_forest(train, trees=2)
-    assert seen == [(8, 300, True)]
+    assert seen == [(parts, 300, parts == 16)]
 
 
 def test_token_windows_are_made_one_batch_at_a_time(spark):
