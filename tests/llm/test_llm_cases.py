@@ -486,3 +486,37 @@ def test_sets_that_resemble_each_other_are_not_split(spark, monkeypatch):
     roots = {r.node: r.root for r in components.components(linked).collect()}
     assert [roots[k] for k in range(300)] == [0] * 300 and max(roots) < 300
     assert sum(made) == 0
+
+
+def test_passes_of_the_language_model_move_no_texts(docs, monkeypatch):
+    s = gru_lm.Settings(words=15, classes=5, endings=4, hidden=6, passes=2, block_bytes=100_000, bucket_bytes=60_000, shard_bytes=60_000)
+    frame = docs.filter("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = {r.doc_id: r.text for r in frame.collect()}
+    back = gru_lm.unsqueezed(pa.Table.from_batches(gru_lm.squeezed(frame).toArrow().to_batches()))
+    assert dict(zip(back.column("doc_id").to_pylist(), back.column("text").to_pylist())) == texts
+    h = gru_lm.tokens(pa.array(texts.values()))[0]
+    words, n = np.unique(h, return_counts=True)
+    best = np.lexsort((words, -n))[: s.words + 1]
+    order = np.argsort(words[best])
+    lex = gru_lm.Lexicon(words[best][order], order, len(h), len(words), int(len(h) - n[best].sum()), len(words) - len(best))
+    plans, added = [], gru_lm.tree_sum
+    monkeypatch.setattr(gru_lm, "tree_sum", lambda parts, tasks: plans.append(parts._jdf.queryExecution().executedPlan().toString()) or added(parts, tasks))
+    p = gru_lm.fit(frame.withColumn("shard", F.col("doc_id") % 3), 3, lex, s)
+    assert len(plans) == 2 and not any("Exchange" in x or "text" in x for x in plans)
+
+    want = gru_lm.start_parameters(s)  # the same passes, shard by shard, over the texts
+    for turn in range(s.passes):
+        total, weight = 0, 0
+        for shard in range(3):
+            own, ids = {k: v.copy() for k, v in want.items()}, sorted(i for i in texts if i % 3 == shard)
+            ids = [ids[k] for k in np.random.default_rng(s.seed + turn).permutation(len(ids))]
+            h, endings, counts = gru_lm.tokens(pa.array([texts[i] for i in ids]))
+            fresh = np.zeros(len(h), bool)
+            fresh[np.cumsum(counts) - counts] = True
+            rank = lex.ranks(h)
+            x = np.append(0, gru_lm.inputs(rank, endings, s)[:-1])
+            x[fresh] = s.words + 1 + s.endings
+            gru_lm.train(own, x, rank, fresh, s, len(lex.words), {})
+            total, weight = total + gru_lm._pack(own).astype(np.float64) * len(h), weight + len(h)
+        want = gru_lm._unpack((total / weight).astype(np.float32), want)
+    assert all(np.allclose(p[k], want[k], atol=1e-4) for k in want)
