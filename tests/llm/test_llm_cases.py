@@ -488,6 +488,22 @@ def test_sets_that_resemble_each_other_are_not_split(spark, monkeypatch):
     assert sum(made) == 0
 
 
+def test_few_links_are_dealt_to_few_tasks(spark, make, monkeypatch):
+    parts = []
+    monkeypatch.setattr(components, "materialize", lambda df: parts.append(df.rdd.getNumPartitions()) or materialize(df))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(before, ("64", "false")):
+            spark.conf.set(k, v)
+        links = [(i, i + 1) for i in range(0, 30)] + [(40, 42), (41, 42), (42, None), (7, 7)]
+        got = {r.node: r.root for r in components.components(make(links, "a long, b long")).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {i: 0 for i in range(31)} | {40: 40, 41: 40, 42: 40}
+    assert len(parts) > 2 and max(parts[1:]) == 1
+
+
 def test_passes_of_the_language_model_move_no_texts(docs, monkeypatch):
     s = gru_lm.Settings(words=15, classes=5, endings=4, hidden=6, passes=2, block_bytes=100_000, bucket_bytes=60_000, shard_bytes=60_000)
     frame = docs.filter("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
