@@ -207,3 +207,17 @@ def test_token_windows_are_made_one_batch_at_a_time(spark):
     df = spark.createDataFrame([(1, "one three  fünf"), (2, None), (3, "!"), (4, "xx " * 300)], "id long, body string")
     got = models.embed_tokens(df, lambda: lambda lists: [np.array([[len(t), 1.0] for t in x]) for x in lists], batch=2, window=7)
     assert {r.id: r.embedding for r in got.collect()} == {1: [4.0, 1.0], 2: None, 3: None, 4: [2.0, 1.0]}
+
+
+def test_embeddings_are_of_whole_texts(spark, monkeypatch):
+    """The mean is over all tokens of a text, however long it is."""
+    import numpy as np
+
+    from mailglass.plans import queries_models
+
+    words = ["aa"] * 300 + ["bb"] * 500
+    corpus = spark.createDataFrame([(1, " ".join(words)), (2, "aa bb")], "id long, body string")
+    monkeypatch.setattr(queries_models, "view", lambda spark, sf_dir, name: corpus)
+    got = {(r.id, r.k): r.value for r in queries_models.m10(spark, "").collect()}
+    a, b = (x[0] for x in queries_models.md5_encoder()([["aa"], ["bb"]]))
+    assert got == {(i, k + 1): round(float(v), 6) for i, mean in ((1, np.array(a) * 3 / 8 + np.array(b) * 5 / 8), (2, (np.array(a) + np.array(b)) / 2)) for k, v in enumerate(mean)}
