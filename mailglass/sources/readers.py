@@ -2,15 +2,106 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import reduce
+from urllib.parse import urlsplit
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mailglass.session import materialize
+
+#: Bytes and files of one task that reads files, and bytes that it hands on at once.
+PART_BYTES = 64 << 20
+PART_FILES = 5000
+BATCH_BYTES = 8 << 20
+LISTED = "path string, folder boolean, bytes long"
+
+
+def _is_hidden(name: str) -> bool:
+    """As Spark's own file sources see it."""
+    return name.startswith(".") or name.endswith("._COPYING_") or (name.startswith("_") and "=" not in name and not name.startswith(("_metadata", "_common_metadata")))
+
+
+def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(path, bytes) of the files below ``path`` whose name matches ``pattern``, without hidden and
+    empty ones, as Spark's own file sources list them.
+
+    A level of folders is listed by a job, its rows stay with the tasks: the driver never
+    holds more than the paths that ``path`` itself stands for.
+    """
+    from pyarrow import fs
+
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    roots = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place)
+    if not roots:
+        raise FileNotFoundError(path)
+    matches = spark._jvm.org.apache.hadoop.fs.GlobPattern(pattern).compiled().pattern()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = re.compile(matches, re.S)
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                system, base = _opened(folder)
+                prefix = folder[:len(folder) - len(base)]
+                inside = [x for x in system.get_file_info(fs.FileSelector(base)) if not _is_hidden(x.base_name)]
+                kept = [x for x in inside if x.type == fs.FileType.Directory or name.fullmatch(x.base_name)]
+                yield pa.RecordBatch.from_pydict({"path": pa.array([prefix + x.path for x in kept], pa.string()), "folder": pa.array([x.type == fs.FileType.Directory for x in kept], pa.bool_()),
+                                                  "bytes": pa.array([x.size or 0 for x in kept], pa.int64())})
+
+    first = [(x.getPath().toString(), x.getPath().getName(), x.isDirectory(), x.getLen()) for x in roots]
+    level = spark.createDataFrame([(at, folder, size) for at, name, folder, size in first if folder or not _is_hidden(name) and re.compile(matches, re.S).fullmatch(name)], LISTED)
+    found = []
+    while True:
+        found.append(level.filter("NOT folder AND bytes > 0").select("path", "bytes"))
+        folders = level.filter("folder").select("path")
+        n = folders.count()
+        if n == 0:
+            return reduce(DataFrame.unionByName, found)
+        level = materialize(folders.repartition(min(n, 4 * spark.sparkContext.defaultParallelism)).mapInArrow(run, LISTED))
+
+
+def _opened(path: str):
+    """A file system and the path in it, of a path as Hadoop writes it."""
+    from urllib.parse import quote
+
+    from pyarrow import fs
+
+    scheme = urlsplit(path).scheme
+    return (fs.LocalFileSystem(), path.removeprefix("file:")) if scheme in ("", "file") else fs.FileSystem.from_uri(quote(path, safe=":/@,=+-_.~"))
+
+
+def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(path, content) of the files of a directory tree, listed and read by tasks."""
+    listed = list_files(spark, path, pattern)
+    size = listed.agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    tasks = max(1, min(size.n, spark.sparkContext.defaultParallelism), -(-size.bytes // PART_BYTES), -(-size.n // PART_FILES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths, contents, held = [], [], 0
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                system, base = _opened(name)
+                with system.open_input_stream(base) as file:
+                    paths.append(name)
+                    contents.append(file.readall())
+                held += len(contents[-1])
+                if held >= BATCH_BYTES or len(paths) >= 10_000:
+                    yield pa.RecordBatch.from_pydict({"path": pa.array(paths, pa.string()), "content": pa.array(contents, pa.binary())})
+                    paths, contents, held = [], [], 0
+        if paths:
+            yield pa.RecordBatch.from_pydict({"path": pa.array(paths, pa.string()), "content": pa.array(contents, pa.binary())})
+
+    return listed.select("path").repartition(tasks).mapInArrow(run, "path string, content binary")
+
 
 def read_mail_files(spark: SparkSession, path: str, pattern: str = "*.{eml,txt}") -> DataFrame:
     """One row per file of a directory tree: (path, raw). Bytes that are not
     UTF-8 are dropped."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    files = read_files(spark, path, pattern)
     # invalid bytes decode to the replacement character, which is taken out
     return files.select("path", F.replace(F.make_valid_utf8(F.decode_bytes(F.col("content")) if hasattr(F, "decode_bytes")
                                                             else F.col("content").cast("string")), F.lit("�"), F.lit("")).alias("raw"))
@@ -27,7 +118,7 @@ def read_mbox(spark: SparkSession, path: str) -> DataFrame:
 def read_labelled_folders(spark: SparkSession, path: str, labels: dict[str, str], charset: str = "ISO-8859-1") -> DataFrame:
     """One row per file: (path, label, raw), the label taken from the name of
     the folder that holds the file. Files of other folders are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    files = read_files(spark, path)
     folder = F.element_at(F.split(F.col("path"), "/"), -2)
     names = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
     df = files.select("path", F.try_element_at(names, folder).alias("label"), F.decode("content", charset).alias("raw"))

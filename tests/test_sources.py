@@ -61,3 +61,16 @@ def test_mail_and_corpus_files_come_back(spark, monkeypatch):
     monkeypatch.setattr(queries_io, "view", lambda spark, sf_dir, name: tables[name])
     assert {r.mail_id: r.raw for r in queries_io.s1(spark, "").collect()} == {5: "a\n\nb\n", 6: "", None: "c"}
     assert {r.id: (r.label, r.n_chars) for r in queries_io.s3(spark, "").collect()} == {1: ("phishing", 2), 2: ("legitimate", 2), None: ("legitimate", 0)}
+
+
+def test_files_are_listed_by_tasks_as_spark_lists_them(spark, tmp_path):
+    """The same files as Spark's own source, of trees with odd names, without a listing on the driver."""
+    for name in ("a.eml", "b.txt", "c.bin", ".hid.eml", "_hid.eml", "_x=1.eml", "deep/er/d.eml", "_skip/e.eml", ".skip/f.eml", "g=1/h i%20é.eml", "empty.txt", "x.eml._COPYING_"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"" if name == "empty.txt" else name.encode())
+    (tmp_path / "nothing").mkdir()
+    for path, pattern in ((str(tmp_path), "*.{eml,txt}"), (str(tmp_path), "*"), (str(tmp_path / "*e*"), "[!x]*"), (str(tmp_path / "a.eml"), "*"), (str(tmp_path / "nothing"), "*")):
+        want = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "content")
+        assert sorted(map(tuple, readers.read_files(spark, path, pattern).collect())) == sorted(map(tuple, want.collect()))
+    found = readers.read_mail_files(spark, str(tmp_path))
+    assert found.count() == 5 and not any(f.endswith((".eml", ".txt")) for f in found.inputFiles())
