@@ -5,14 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import reduce
-from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mailglass.session import materialize
+from mailglass.session import materialize, opened
 
 #: Bytes and files of one task that reads files, and bytes that it hands on at once.
 PART_BYTES = 64 << 20
@@ -45,7 +44,7 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
         name = re.compile(matches, re.S)
         for batch in batches:
             for folder in batch.column(0).to_pylist():
-                system, base = _opened(folder)
+                system, base = opened(folder)
                 prefix = folder[:len(folder) - len(base)]
                 inside = [x for x in system.get_file_info(fs.FileSelector(base)) if not _is_hidden(x.base_name)]
                 kept = [x for x in inside if x.type == fs.FileType.Directory or name.fullmatch(x.base_name)]
@@ -64,16 +63,6 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
         level = materialize(folders.repartition(min(n, 4 * spark.sparkContext.defaultParallelism)).mapInArrow(run, LISTED))
 
 
-def _opened(path: str):
-    """A file system and the path in it, of a path as Hadoop writes it."""
-    from urllib.parse import quote
-
-    from pyarrow import fs
-
-    scheme = urlsplit(path).scheme
-    return (fs.LocalFileSystem(), path.removeprefix("file:")) if scheme in ("", "file") else fs.FileSystem.from_uri(quote(path, safe=":/@,=+-_.~"))
-
-
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(path, content) of the files of a directory tree, listed and read by tasks."""
     listed = list_files(spark, path, pattern)
@@ -84,7 +73,7 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
         paths, contents, held = [], [], 0
         for batch in batches:
             for name in batch.column(0).to_pylist():
-                system, base = _opened(name)
+                system, base = opened(name)
                 with system.open_input_stream(base) as file:
                     paths.append(name)
                     contents.append(file.readall())
